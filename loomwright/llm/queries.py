@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import table
+from loomwright.llm import language_id, toxicity
+from loomwright.llm.common import held_out, table
 from loomwright.llm.exact_dedup import exact_dedup
 from loomwright.llm.packing import pack_documents
 from loomwright.llm.sentencepiece_codec import sentencepiece_encode
@@ -36,6 +37,14 @@ WINDOW g AS (PARTITION BY body)
 """
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from the four fifths that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn(docs, ~held_out(F.col("doc_id")))
+    told = language_id.predict_language(docs, model)
+    return told.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded again, as digests."""
     coded = sentencepiece_encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
@@ -47,6 +56,16 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labels of the four fifths that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), END_ID, SEQUENCE_TOKENS)
@@ -55,7 +74,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_language_id": op2_language_id,
         "op3_sentencepiece": op3_sentencepiece,
+        "op7_toxicity": op7_toxicity,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
