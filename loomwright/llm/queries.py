@@ -12,6 +12,7 @@ from loomwright.llm.common import held_out, table
 from loomwright.llm.exact_dedup import exact_dedup
 from loomwright.llm.packing import pack_documents
 from loomwright.llm.sentencepiece_codec import sentencepiece_encode
+from loomwright.llm.warc import warc_round_trip
 
 #: Tokens of a packed sequence, and the id that ends a document.
 SEQUENCE_TOKENS, END_ID = 1024, 2
@@ -56,6 +57,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written to archives and read back."""
+    return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned from the labels of the four fifths that aren't held out."""
     docs = table(spark, sf_dir, "documents")
@@ -71,15 +77,29 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), END_ID, SEQUENCE_TOKENS)
 
 
+# SHA-1 in base32: DuckDB gives it in hexadecimal, of which five digits make four.
+OP5_SQL = """
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((('0x' || substr(sha, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first_id THEN first_id END AS refers_to,
+       CASE WHEN page_id > first_id THEN NULL ELSE true END AS digest_ok
+FROM (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS sha,
+             min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_language_id": op2_language_id,
         "op3_sentencepiece": op3_sentencepiece,
+        "op5_warc": op5_warc,
         "op7_toxicity": op7_toxicity,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op5_warc": OP5_SQL}
