@@ -12,6 +12,7 @@ from loomwright.llm.common import held_out, table
 from loomwright.llm.exact_dedup import exact_dedup
 from loomwright.llm.packing import pack_documents
 from loomwright.llm.sentencepiece_codec import sentencepiece_encode
+from loomwright.llm.simhash import near_duplicates
 from loomwright.llm.warc import warc_round_trip
 
 #: Tokens of a packed sequence, and the id that ends a document.
@@ -57,6 +58,12 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: shingles of 4 words, 4 differing bits."""
+    found = near_duplicates(table(spark, sf_dir, "documents"), words=4, distance=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, written to archives and read back."""
     return warc_round_trip(table(spark, sf_dir, "pages"))
@@ -95,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_language_id": op2_language_id,
         "op3_sentencepiece": op3_sentencepiece,
+        "op4_simhash": op4_simhash,
         "op5_warc": op5_warc,
         "op7_toxicity": op7_toxicity,
         "op10_best_fit_packing": op10_best_fit_packing,

@@ -1,0 +1,85 @@
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+
+from loomwright.llm import simhash
+from loomwright.llm.components import components
+
+
+def plain_fingerprint(text, words):
+    found = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(found[i : i + words]) for i in range(len(found) - words + 1)] or ([" ".join(found)] if found else [])
+    values = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in values) > len(values))
+
+
+def plain_components(rows, distance):
+    label = {fp: fp for _, fp in rows}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    values = sorted(label)
+    for i, a in enumerate(values):
+        for b in values[i + 1 :]:
+            if (a ^ b).bit_count() <= distance:
+                label[find(a)] = find(b)
+    least = {}
+    for key, fp in rows:
+        if key is not None:
+            least[find(fp)] = min(least.get(find(fp), key), key)
+    return {(key, fp, least.get(find(fp))) for key, fp in rows}
+
+
+def near_copies(seed, n):
+    draw = random.Random(seed)
+    base = [" ".join(draw.choice("abcdefghij") * draw.randint(1, 6) for _ in range(draw.choice([3, 40, 200]))) for _ in range(max(1, n // 8))]
+    texts = []
+    for _ in range(n):
+        words = draw.choice(base).split()
+        for _ in range(draw.choice([0, 1, 1, 2])):
+            words[draw.randrange(len(words))] = draw.choice(["X", "Été", "zz"])
+        texts.append(draw.choice([" ", "\t", " \n"]).join(words))
+    return texts
+
+
+@pytest.mark.parametrize("words,distance", [(4, 4), (5, 3), (1, 1)])
+def test_against_brute_force(spark, words, distance):
+    texts = [None, "", " \t\n", "one", "ONE", "a b c", "É é", "a\xa0b c d e", *near_copies(words, 120)]
+    data = [(i, t, "x") for i, t in enumerate(texts)] + [(3, "one", "x"), (None, "one", "x"), (None, "null alone here", "x")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, TEXT string")
+    got = simhash.near_duplicates(docs, words, distance).collect()
+    rows = [(key, plain_fingerprint(t, words)) for key, t, _ in data]
+    assert {(r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in got} == plain_components(rows, distance)
+    assert len(got) == len(data)
+
+
+def test_empty_table(spark):
+    got = simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string"))
+    assert got.columns == ["doc_id", "fp", "component_id"] and got.count() == 0
+
+
+@pytest.mark.parametrize("rows", [100, 100_000, 100_000_000])
+def test_plans_find_every_link(rows):
+    draw = np.random.default_rng(0)
+    sample = draw.integers(0, 1 << 63, 3_000).astype(np.uint64) * np.uint64(2)
+    plan = simhash.make_plan(sample, rows, 4)
+    assert sum(plan.masks) == (1 << 64) - 1 and sum(plan.thresholds) == 4 - len(plan.masks) + 1
+    for _ in range(2_000):
+        apart = sum(1 << int(b) for b in draw.choice(64, 4, replace=False))
+        assert any((apart & m).bit_count() <= t for m, t in zip(plan.masks, plan.thresholds, strict=True))
+    sizes = [len(set(plan.flips(i))) for i in range(len(plan.masks)) if plan.thresholds[i] >= 0]
+    assert all(sizes)
+
+
+def test_components_of_paths_stars_and_loops(spark):
+    path = [(i, i + 1) for i in range(50)]
+    star = [(100, i) for i in range(101, 140)]
+    got = components(spark.createDataFrame([*path, *star, *star, (200, 200), (302, 301)], "a long, b long")).collect()
+    assert {(r["node"], r["root"]) for r in got} == {(i, 0) for i in range(1, 51)} | {(i, 100) for i in range(101, 140)} | {(302, 301)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
