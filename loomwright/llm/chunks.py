@@ -17,6 +17,7 @@ class ChunkTable(dict):
     def __init__(self, compute: Callable[[str], Any], entries: int = TABLE_ENTRIES) -> None:
         super().__init__()
         self.compute, self.entries = compute, entries
+        self.plain: Callable[[str], Any] = compute
 
     def __missing__(self, chunk: str) -> Any:
         value = self.compute(chunk)

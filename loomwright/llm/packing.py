@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +31,7 @@ NEARLY_FULL = 4
 LOCAL_ITEMS = 200_000
 
 _BESIDE_SPACE = re.compile(r" \s|\s ")
+_ODD_SPACE = re.compile(r"[^\S \n]")
 PIECE_FIELDS = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -42,7 +44,6 @@ def _table(path: str) -> tuple[ChunkTable, str, dict[str, int]]:
     """
     import json
 
-    import numpy as np
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
@@ -52,7 +53,9 @@ def _table(path: str) -> tuple[ChunkTable, str, dict[str, int]]:
     ranks = {bytes(map(bytes_of.__getitem__, piece)): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
     pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
     encode = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    table = ChunkTable(lambda chunk: np.array(encode(chunk), dtype="<u4").tobytes())
+    # Keyed by a word, for the ids of the word after a space.
+    table = ChunkTable(lambda word: array("I", encode(" " + word)).tobytes())
+    table.plain = lambda text: array("I", encode(text)).tobytes()
     return table, "|".join(map(re.escape, sorted(special, key=len, reverse=True))), special
 
 
@@ -72,11 +75,11 @@ def _ids(text: str, path: str) -> bytes:
         for token, part in zip(found, ordinary[1:], strict=True):
             out += [special_ids[token].to_bytes(4, "little"), _ids(part, path)]
         return b"".join(out)
-    if _BESIDE_SPACE.search(text):
-        return table.compute(text)
+    if "  " in text or " \n" in text or "\n " in text or (_ODD_SPACE.search(text) and _BESIDE_SPACE.search(text)):
+        return table.plain(text)
     # A space that has no white space beside it starts a new chunk for the tokenizer.
     first, *rest = text.split(" ")
-    return b"".join([table[first], *map(table.__getitem__, [" " + w for w in rest])]) if rest else table[first]
+    return table.plain(first) + b"".join(map(table.__getitem__, rest))
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, size: int) -> Iterator[pa.RecordBatch]:
