@@ -13,6 +13,7 @@ from loomwright.llm.exact_dedup import exact_dedup
 from loomwright.llm.packing import pack_documents
 from loomwright.llm.sentencepiece_codec import sentencepiece_encode
 from loomwright.llm.simhash import near_duplicates
+from loomwright.llm.topk import exact_top_k
 from loomwright.llm.warc import warc_round_trip
 
 #: Tokens of a packed sequence, and the id that ends a document.
@@ -79,6 +80,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows, by inner product, of every twentieth embedding."""
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), END_ID, SEQUENCE_TOKENS)
@@ -96,6 +102,19 @@ FROM (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
              min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages)
 """
 
+OP9_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -105,9 +124,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash": op4_simhash,
         "op5_warc": op5_warc,
         "op7_toxicity": op7_toxicity,
+        "op9_exact_top_k": op9_exact_top_k,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op5_warc": OP5_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op5_warc": OP5_SQL, "op9_exact_top_k": OP9_SQL}
