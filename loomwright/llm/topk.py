@@ -152,8 +152,9 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int, scale: float = 64.
     if not n_q:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     deal = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
-    left = queries.withColumns({"q": deal(n_q), "c": F.explode(F.sequence(F.lit(0), F.lit(n_c - 1)))})
-    right = clean.withColumns({"c": deal(n_c), "q": F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))})
+    # Dealt first: after an explode, the copies of a row would be dealt differently.
+    left = queries.withColumn("q", deal(n_q)).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
+    right = clean.withColumn("c", deal(n_c)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
     met = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInPandas(_meet(k), "query_id long, row long, vec_id long, score long")
     order = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
