@@ -13,6 +13,7 @@ from loomwright.llm.exact_dedup import exact_dedup
 from loomwright.llm.packing import pack_documents
 from loomwright.llm.sentencepiece_codec import sentencepiece_encode
 from loomwright.llm.simhash import near_duplicates
+from loomwright.llm.substring_dedup import substring_dedup
 from loomwright.llm.topk import exact_top_k
 from loomwright.llm.warc import warc_round_trip
 
@@ -70,6 +71,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the passages of 50 words or more that an earlier document has."""
+    left = substring_dedup(table(spark, sf_dir, "documents"), 50)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned from the labels of the four fifths that aren't held out."""
     docs = table(spark, sf_dir, "documents")
@@ -123,6 +130,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sentencepiece": op3_sentencepiece,
         "op4_simhash": op4_simhash,
         "op5_warc": op5_warc,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_toxicity": op7_toxicity,
         "op9_exact_top_k": op9_exact_top_k,
         "op10_best_fit_packing": op10_best_fit_packing,
