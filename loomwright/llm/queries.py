@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import language_id, toxicity
+from loomwright.llm import language_id, pii, toxicity
 from loomwright.llm.common import held_out, table
 from loomwright.llm.exact_dedup import exact_dedup
 from loomwright.llm.packing import pack_documents
@@ -87,6 +87,16 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data of all documents, and the terms around it that disclose it."""
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < 4)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans")
+    )
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows, by inner product, of every twentieth embedding."""
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
@@ -132,6 +142,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_warc": op5_warc,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_toxicity": op7_toxicity,
+        "op8_pii": op8_pii,
         "op9_exact_top_k": op9_exact_top_k,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
