@@ -168,3 +168,28 @@ def predict_language(docs: DataFrame, model: LanguageModel | None, id_col: str =
     rows = pick(docs, doc_id=id_col, text=text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x bits and bits x 2**HASH_BITS: of fixed size
     return rows.mapInArrow(functools.partial(_predict, shared=shared), "doc_id long, lang_pred string, score double, ambiguous boolean")
+
+
+def _known(batches: Iterator[pa.RecordBatch], shared, text: str) -> Iterator[pa.RecordBatch]:
+    import pyarrow.compute as pc
+
+    for b in batches:
+        keys = pa.array(range(b.num_rows), pa.int64())
+        told = _predict(iter([pa.RecordBatch.from_arrays([keys, b.column(b.schema.get_field_index(text))], names=["k", "t"])]), shared)
+        langs = [x.column(1) for x in told]
+        if langs:
+            yield b.filter(pc.not_equal(pa.concat_arrays(langs), UNDETERMINED))
+
+
+def drop_undetermined(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
+    """The rows, with all columns, whose text has a language: all but those predicted as ``und``.
+
+    Without a model (no labelled texts) nothing can be told, and all rows stay.
+    """
+    if model is None:
+        return docs
+    names = docs.columns
+    plain = docs.toDF(*[f"__c{i}" for i in range(len(names))])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    known = functools.partial(_known, shared=shared, text=f"__c{names.index(text_col)}")
+    return plain.mapInArrow(known, plain.schema).toDF(*names)

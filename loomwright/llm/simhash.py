@@ -33,6 +33,8 @@ SAMPLE, PAIRS = 20_000, 1_000_000
 #: Cost of verifying a candidate, against writing a probe.
 CANDIDATE_COST = 0.05
 MOST_PARTITIONS = 8
+#: Ids of copies (8 bytes each) that are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 def fingerprint(text: str, words: int) -> int:
@@ -203,3 +205,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 3, id_col:
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stored(rooted.join(named, "root").select("fp", "component_id"), "components")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, distance: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all columns, that stay when each component of :func:`near_duplicates` keeps its smallest id.
+
+    Rows of one id stay or go together; rows with a null id stay.
+    """
+    found = near_duplicates(docs, words, distance, id_col, text_col)
+    gone = stored(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-copies")
+    if gone.count() <= BROADCAST_KEYS:
+        gone = F.broadcast(gone)
+    names = docs.columns
+    plain = docs.toDF(*[f"__c{i}" for i in range(len(names))])
+    return plain.join(gone, F.col(f"__c{names.index(id_col)}") == F.col("doc_id"), "left_anti").toDF(*names)
