@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,14 +47,12 @@ def _table(path: str) -> ChunkTable:
 
     The library puts one marker before whatever it encodes, and takes one off what it decodes.
     """
-    import numpy as np
-
     sp = _processor(path)
     alone = [sp.piece_to_id(MARK)]
 
     def compute(word: str) -> tuple[bytes, str]:
         ids = sp.encode(word) if word else alone
-        return np.array(ids, dtype="<i4").tobytes(), sp.decode(ids)
+        return array("i", ids).tobytes(), sp.decode(ids)
 
     return ChunkTable(compute)
 
@@ -73,7 +72,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
     def batch(keys: list, ids: list[bytes], decoded: list[str]) -> pa.RecordBatch:
         ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int64).astype(np.int32)
-        flat = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
+        flat = pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))
         lists = pa.ListArray.from_arrays(pa.array(ends), flat)
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), lists, pa.array(decoded, pa.string())], schema=schema)
 
