@@ -25,8 +25,8 @@ from loomwright.llm.common import pick, stored
 FAN_IN = 8
 #: Rows of open bins that a group hands to the next level at most.
 HANDED_ON = 2_000
-#: Free tokens up to which a bin counts as nearly full.
-NEARLY_FULL = 4
+#: The part of a bin, as 1 / NEARLY_FULL, that may be free in one that counts as nearly full.
+NEARLY_FULL = 256
 #: Pieces that one task packs at a time at the lowest level.
 LOCAL_ITEMS = 200_000
 
@@ -143,7 +143,7 @@ def _packed(items: list[tuple[int, int, list[int]]], room: int, last: bool) -> l
         for i in members:
             rows += [(row, fill) for row in items[i][2]]
             fill += sizes[i]
-        if last or room - fill <= NEARLY_FULL:
+        if last or room - fill <= room // NEARLY_FULL:
             out += [(row, sequence, shift, False) for row, shift in rows]
         else:
             opened.append((fill, sequence, rows))
