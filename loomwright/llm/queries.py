@@ -119,6 +119,25 @@ FROM (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
              min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages)
 """
 
+OP6_SQL = """
+WITH d AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
+), windows AS (
+    SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)
+), first AS (
+    SELECT s, min(doc_id) AS first_id FROM windows GROUP BY s HAVING min(doc_id) < max(doc_id)
+), starts AS (
+    SELECT doc_id, list(p) AS ps FROM windows JOIN first USING (s) WHERE doc_id > first_id GROUP BY doc_id
+), covered AS (
+    SELECT DISTINCT doc_id, p + k AS p FROM (SELECT doc_id, unnest(ps) AS p FROM starts), range(50) AS r(k)
+), gone AS (
+    SELECT doc_id, list(p) AS gone, count(*) AS n FROM covered GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed,
+       sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ') WHEN n = len(w) THEN '' ELSE (
+           SELECT coalesce(string_agg(x, ' ' ORDER BY i), '') FROM (SELECT unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i) WHERE NOT list_contains(gone, i)) END) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""
 OP9_SQL = """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
@@ -149,4 +168,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op5_warc": OP5_SQL, "op9_exact_top_k": OP9_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op5_warc": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op9_exact_top_k": OP9_SQL}
