@@ -5,7 +5,9 @@ All statistics of a level are evaluated together, so those of one query column s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.stage import REQUIRED, Operator, at_least, number, one_of
@@ -18,10 +20,14 @@ class _Listwise(Operator):
     ``inputCols`` may name a second column: the one to sort by, of which the first topN count, or
     with withSegment one that parts the lists. Values under minFilterValue don't count. Where there
     is no result it is nanFillValue. Ties of the sort column are broken by ``tieBreakCols``.
+
+    A window brings the rows of a list into one task. With ``skewSafe`` the statistic is aggregated
+    first, partly before the shuffle, and joined to the rows, so that Spark can split a list that
+    holds much of the table; it costs a second shuffle, and doesn't go with topN.
     """
 
     ACCEPTS = (*NUMBERS, "string")
-    PARAMS = {"queryIdCol": None, "topN": None, "sortOrder": "asc", "withSegment": False, "minFilterValue": None, "nanFillValue": 0.0, "tieBreakCols": None}
+    PARAMS = {"queryIdCol": None, "topN": None, "sortOrder": "asc", "withSegment": False, "minFilterValue": None, "nanFillValue": 0.0, "tieBreakCols": None, "skewSafe": False}
     CHECKS = {"sortOrder": one_of("asc", "desc"), "topN": at_least(1), "minFilterValue": int, "nanFillValue": number}
 
     def statistic(self, x: Column) -> Column:
@@ -58,20 +64,40 @@ class _Listwise(Operator):
     def helpers(self, schema: T.StructType) -> dict[str, Column]:
         return dict([self._place(schema)]) if self._second() is not None and not self.p("withSegment") else {}
 
-    def expressions(self, schema: T.StructType) -> dict[str, Column]:
-        query, second = self.query(schema), self._second()
-        if self.p("withSegment") and second is None:
-            raise ValueError("withSegment needs a second column")
-        cols, _ = self.operands(schema)
-        x, counts = cols[0], []
-        if second is not None and not self.p("withSegment"):
+    def _counted(self, schema: T.StructType) -> Column:
+        """The value where it counts, else NULL."""
+        x, counts = self.operands(schema)[0][0], []
+        if self._second() is not None and not self.p("withSegment"):
             counts.append(F.col(f"`{self._place(schema)[0]}`") <= self.p("topN"))
         if self.p("minFilterValue") is not None:
             counts.append(x >= F.lit(self.p("minFilterValue")))
         for condition in counts:
             x = F.when(condition, x)
-        window = Window.partitionBy(query, second) if self.p("withSegment") else Window.partitionBy(query)
-        found = self.statistic(x).over(window)
+        return x
+
+    def _keys(self, schema: T.StructType) -> list[str]:
+        query, second = self.query(schema), self._second()
+        if self.p("withSegment") and second is None:
+            raise ValueError("withSegment needs a second column")
+        return [query, second] if self.p("withSegment") else [query]
+
+    def before(self, df: DataFrame) -> DataFrame:
+        if not self.p("skewSafe"):
+            return df
+        keys = self._keys(df.schema)
+        if self._second() is not None and not self.p("withSegment"):
+            raise ValueError("skewSafe doesn't go with topN")
+        inner = {k: f"__lw_key_{i}" for i, k in enumerate(keys)}
+        found = df.groupBy(*[F.col(k).alias(n) for k, n in inner.items()]).agg(self.statistic(self._counted(df.schema)).alias(f"__lw_{self.uid}"))
+        same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in inner.items()])
+        return df.join(found, same, "left").drop(*inner.values())
+
+    def expressions(self, schema: T.StructType) -> dict[str, Column]:
+        keys = self._keys(schema)
+        if self.p("skewSafe"):
+            found = F.col(f"`__lw_{self.uid}`")
+        else:
+            found = self.statistic(self._counted(schema)).over(Window.partitionBy(*keys))
         fill = self.p("nanFillValue")
         if column_type(schema, self.inputs()[0]).simpleString() in ("float", "double") or self.p("inputDtype") in ("float", "double"):
             found = F.nanvl(found, F.lit(None).cast("double"))

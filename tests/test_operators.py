@@ -210,6 +210,12 @@ def test_lists(spark):
     assert lists(spark, stage(op.ListMedianTransformer), rows, schema) == [5.0, 5.0, 5.0, -999.0]
     assert lists(spark, stage(op.ListStdDevTransformer, nanFillValue=7), rows, schema)[3] == 7.0
     assert lists(spark, op.ListRankTransformer(inputCol="v", outputCol="x", queryIdCol="q"), rows, schema) == [2, 1, 3, 1]
+    rows.append((None, 5, 1, "s"))
+    for cls in (op.ListMaxTransformer, op.ListMeanTransformer, op.ListMedianTransformer, op.ListStdDevTransformer):
+        for more in ({}, {"minFilterValue": 0}, {"given": ["v", "g"], "withSegment": True}):
+            assert lists(spark, stage(cls, **more, skewSafe=True), rows, schema) == lists(spark, stage(cls, **more), rows, schema)
+    with pytest.raises(ValueError):
+        lists(spark, stage(op.ListMaxTransformer, ["v", "o"], topN=1, skewSafe=True), rows, schema)
     with pytest.raises(ValueError):
         lists(spark, op.ListMaxTransformer(inputCol="v", outputCol="x"), rows, schema)
     with pytest.raises(ValueError):
