@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,11 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     return plain.select(*[F.col(f"__c{i}").alias(new) for new, i in places.items()])
 
 
+def values(column: Any) -> Iterator[Any]:
+    """The Python values of an Arrow array, one at a time, so that a batch's texts are not all held twice."""
+    return (x.as_py() for x in column)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,14 +41,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share.
 
     The folder is ``spark.checkpoint.dir`` of the session; only where that is unset (a local
-    session, as in tests) a temporary folder of this machine is used.
+    session, as in tests) a temporary folder of this machine is used. All paths of an application
+    lie in one folder with its id, which can be deleted when the application has ended.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.gettempdir() + "/loomwright"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import pick
+from loomwright.llm.common import pick, values
 
 if TYPE_CHECKING:
     import numpy as np
 
 #: Bound of the training sample: texts for each language, and bytes of a training text.
-TRAIN_TEXTS, TRAIN_BYTES = 1_500, 65_536
+TRAIN_TEXTS, TRAIN_BYTES = 1_500, 16_384
 #: Up to so many languages, every possible split of them is a bit; beyond, BITS random splits are.
 EXHAUSTIVE, BITS = 6, 64
 HASH_BITS = 16
@@ -147,7 +147,7 @@ def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
 
     for b in batches:
         keys, texts, size = [], [], 0
-        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for key, text in zip(values(b.column(0)), values(b.column(1)), strict=True):
             keys.append(key)
             texts.append(text)
             size += len(text or "")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.chunks import ChunkTable
-from loomwright.llm.common import pick, stored
+from loomwright.llm.common import pick, stored, values
 
 FAN_IN = 8
 #: Rows of open bins that a group hands to the next level at most.
@@ -87,7 +87,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, size: int
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     for b in batches:
         rows: list[tuple] = []
-        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for key, text in zip(values(b.column(0)), values(b.column(1)), strict=True):
             ids = memoryview(_ids(text or "", path) + end)
             n = len(ids) // 4
             first = (n - 1) % size + 1

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loomwright.llm.chunks import ChunkTable
-from loomwright.llm.common import pick
+from loomwright.llm.common import pick, values
 
 MARK = "▁"
 _MARKED = re.compile(f"{MARK}+[^{MARK}]*")
@@ -78,7 +78,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
     for b in batches:
         keys, ids, decoded, chars = [], [], [], 0
-        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for key, text in zip(values(b.column(0)), values(b.column(1)), strict=True):
             parts = [get(w) for w in marked_words(text)] if text else []
             keys.append(key)
             ids.append(b"".join([p[0] for p in parts]))

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.common import pick, stored
+from loomwright.llm.common import values as each_of
 from loomwright.llm.components import components
 
 BITS, SEED = 64, 42
@@ -93,7 +94,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], words: int, sketched: bool)
     import numpy as np
 
     for b in batches:
-        hashes = (shingle_hashes(t or "", words) for t in b.column(1).to_pylist())
+        hashes = (shingle_hashes(t or "", words) for t in each_of(b.column(1)))
         pairs = [(_simhash(h), _sketch(h) if sketched else None) for h in hashes]
         found = np.array([p[0] for p in pairs], dtype=np.uint64)
         sketches = pa.array([p[1] for p in pairs], pa.list_(pa.int32()))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.chunks import ChunkTable
-from loomwright.llm.common import pick, stored
+from loomwright.llm.common import pick, stored, values
 
 #: Odd multipliers of the two rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -95,8 +95,6 @@ def _survey(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
 
     for b in batches:
         rows, chars = [], 0
-        texts = b.column(2).to_pylist()
-        keep = [b.column(0).to_pylist(), b.column(1).to_pylist()]
 
         def flush(rows=rows):
             ends = pa.array(np.cumsum([0, *(len(r[4]) for r in rows)]).astype(np.int32))
@@ -104,7 +102,7 @@ def _survey(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
             plain = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())]
             return pa.RecordBatch.from_arrays([*plain, *lists], names=["id", "th", "n_words", "digest", "h", "lo", "hi"])
 
-        for id_, th, text in zip(*keep, texts, strict=True):
+        for id_, th, text in zip(*map(values, b.columns), strict=True):
             words = words_of(text)
             rows.append((id_, th, len(words), hashlib.md5(b" ".join(words)).digest(), *anchors(_hashed(words), window)))
             chars += len(text or "")
@@ -129,7 +127,7 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-        for id_, th, text, ranges in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+        for id_, th, text, ranges in zip(*map(values, b.columns), strict=True):
             x = _hashed(words_of(text))
             wanted = np.zeros(max(len(x) - window + 1, 0) + 1, dtype=np.int64)
             for r in ranges:
@@ -157,7 +155,7 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
     names = ["id", "th", "n_words", "n_removed", "kept"]
     for b in batches:
         rows, chars = [], 0
-        for id_, th, text, starts in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+        for id_, th, text, starts in zip(*map(values, b.columns), strict=True):
             words, removed = words_of(text), 0
             n = len(words)
             if starts:

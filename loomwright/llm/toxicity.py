@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import pick
+from loomwright.llm.common import pick, values
 
 #: Bound of the training sample: texts for each label, and bytes of a training text.
-TRAIN_TEXTS, TRAIN_BYTES = 3_000, 65_536
+TRAIN_TEXTS, TRAIN_BYTES = 3_000, 16_384
 #: Entries of the lexicon, least texts with a term, least weight, and the lengths of stems.
 LEXICON, LEAST_TEXTS, LEAST_WEIGHT, STEMS = 3_000, 5, 1.5, range(4, 9)
 #: Least harmless texts with a phrase that excuses a term, and so many times the toxic ones.
@@ -150,7 +150,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model = shared.value
     for b in batches:
-        scores = [model.score(t or "") for t in b.column(1).to_pylist()]
+        scores = [model.score(t or "") for t in values(b.column(1))]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import pick, shared_path, stored
+from loomwright.llm.common import pick, shared_path, stored, values
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -153,7 +153,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidates of each split. rel: offset of the magic, from the end of the first magic before or in the split."""
     schema, held, now, idx, rel = _schema(SEGMENT), [], None, 0, 0
     for b in batches:
-        for file, block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        for file, block, data in zip(*map(values, b.columns), strict=True):
             if (file, block) != now:
                 if held:
                     yield from _batches(_chain(held), schema)
