@@ -140,8 +140,14 @@ class ListRankTransformer(Operator):
     PARAMS = {"queryIdCol": REQUIRED, "sortOrder": "desc", "tieBreakCols": None}
     CHECKS = {"sortOrder": one_of("asc", "desc")}
 
-    def build(self, cols: list[Column], kinds: list[T.DataType]) -> Column:
+    def helpers(self, schema: T.StructType) -> dict[str, Column]:
+        # Made below the unordered windows of the level, which then need no sort of their own.
+        cols, kinds = self.operands(schema)
         if depth(kinds[0]):
             raise ValueError("the value may not be an array")
         by = cols[0].asc() if self.p("sortOrder") == "asc" else cols[0].desc()
-        return F.row_number().over(Window.partitionBy(self.p("queryIdCol")).orderBy(by, *map(F.col, self.p("tieBreakCols") or [])))
+        order = Window.partitionBy(self.p("queryIdCol")).orderBy(by, *map(F.col, self.p("tieBreakCols") or []))
+        return {f"__lw_{self.uid}": F.row_number().over(order)}
+
+    def build(self, cols: list[Column], kinds: list[T.DataType]) -> Column:
+        return F.col(f"`__lw_{self.uid}`")

@@ -137,12 +137,12 @@ def test_with_the_ml_pipeline_and_grids(df):
     assert choices({"kind": "int", "min": 1, "max": 5, "step": 2}) == [1, 3, 5] and choices({"kind": "boolean"}) == [False, True]
 
 
-def test_one_level_is_one_projection_and_one_exchange(spark):
+def test_lists_of_one_column_share_exchange_and_sort(spark):
     from loomwright.queries import list_stages
 
     df = spark.range(10).selectExpr("id AS event_id", "id % 3 AS user_id", "CAST(id AS DOUBLE) AS value")
     plan = FeaturePipeline(list_stages()).fit(df).transform(df)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1, plan
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1, plan
 
 
 def test_sample_is_repeatable(spark):
