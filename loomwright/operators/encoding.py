@@ -211,7 +211,12 @@ class _OneHot(_Vocabulary):
         skip = self.p("numOOVIndices") + self.start() if self.p("dropUnseen") else 0
         width = len(self.p("labelsArray")) + (0 if self.p("dropUnseen") else self.p("numOOVIndices") + self.start())
         index = self.index(name, col, kind)
-        one = lambda i: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.when(k + skip == i, 1.0).otherwise(0.0).cast("float"))
+        zeros = lambda n: F.array_repeat(F.lit(0.0).cast("float"), n)
+
+        def one(i: Column) -> Column:
+            hot = F.concat(zeros(i - skip), F.array(F.lit(1.0).cast("float")), zeros(F.lit(width - 1 + skip) - i))
+            return F.when(i >= skip, hot).otherwise(zeros(F.lit(width))) if skip else hot
+
         empty = F.array().cast("array<float>")
         return map_leaf([index], [_int(kind)], one if width else lambda i: empty)
 

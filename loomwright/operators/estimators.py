@@ -212,14 +212,14 @@ class _Labels(Learner):
     PARAMS: ClassVar[dict] = {"stringOrderType": "frequencyDesc", "maskToken": None, "numOOVIndices": 1, "maxNumLabels": None}
     CHECKS: ClassVar[dict] = {"stringOrderType": one_of(*encoding.ORDERS), "numOOVIndices": at_least(1), "maxNumLabels": at_least(1)}
 
-    def labels(self, schema: T.StructType) -> list[Column]:
-        """For each input an array of a row's labels."""
+    def labels(self, schema: T.StructType) -> list[tuple[Column, bool]]:
+        """For each input a row's label, or (marked by True) the array of its labels."""
         out = []
         for col, kind in zip(*self.operands(schema), strict=True):
             text = map_leaf([col], [kind], lambda x: x.cast("string"))
             for _ in range(depth(kind) - 1):
                 text = F.flatten(text)
-            out.append(text if depth(kind) else F.array(text))
+            out.append((text, depth(kind) > 0))
         return out
 
     def learn(self, counts: DataFrame) -> Operator:

@@ -72,8 +72,14 @@ def _widths(df: DataFrame, learners: list[Learner]) -> dict[str, int]:
 
 
 def _vocabularies(df: DataFrame, learners: dict[int, Learner]) -> dict[int, Operator]:
-    pairs = [_tagged(labels, i) for i, learner in learners.items() for labels in learner.labels(df.schema)]
-    found = df.select(F.explode(F.concat(*pairs)).alias("x")).select("x.i", "x.label").where("label is not null")
+    given = [(i, *one) for i, learner in learners.items() for one in learner.labels(df.schema)]
+    single = [F.struct(F.lit(i).alias("i"), label.alias("label")) for i, label, many in given if not many]
+    arrays = [_tagged(labels, i) for i, labels, many in given if many]
+    if len(given) == len(single) == 1:
+        found = df.select(F.lit(given[0][0]).alias("i"), given[0][1].alias("label"))
+    else:
+        found = df.select(F.explode(F.concat(*([F.array(*single)] if single else []), *arrays)).alias("x")).select("x.i", "x.label")
+    found = found.where("label is not null")
     counts = found.groupBy("i", "label").agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return {i: learner.learn(counts.where(F.col("i") == i)) for i, learner in learners.items()}

@@ -189,11 +189,10 @@ def apply_together(df: DataFrame, stages: Iterable[Operator]) -> DataFrame:
     stages = list(stages)
     for stage in stages:
         df = stage.before(df)
-    names = [n for n in df.columns if not n.startswith("__lw_")]
     schema = df.schema
     helpers = {k: v for s in stages for k, v in s.helpers(schema).items()}
     if helpers:
-        df = df.select("*", *[c.alias(n) for n, c in helpers.items()])
+        df = df.withColumns(helpers)
         schema = df.schema
     made: dict[str, Column] = {}
     for stage in stages:
@@ -206,8 +205,9 @@ def apply_together(df: DataFrame, stages: Iterable[Operator]) -> DataFrame:
             e.add_note(f"in stage {stage.uid}: {stage.spec()['params']}")
             raise
         made |= found
-    kept = [made.get(n, F.col(f"`{n}`")).alias(n) for n in names]
-    return df.select(*kept, *[c.alias(n) for n, c in made.items() if n not in names])
+    df = df.withColumns(made)
+    own = [n for n in df.columns if n.startswith("__lw_")]
+    return df.drop(*own) if own else df
 
 
 class Learner(Stage, Estimator):
