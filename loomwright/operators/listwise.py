@@ -27,6 +27,9 @@ class _Listwise(Operator):
     """
 
     ACCEPTS = (*NUMBERS, "string")
+    ROW_WISE = False
+    #: Whether strings are taken as the numbers that they spell.
+    NUMERIC = False
     PARAMS = {"queryIdCol": None, "topN": None, "sortOrder": "asc", "withSegment": False, "minFilterValue": None, "nanFillValue": 0.0, "tieBreakCols": None, "skewSafe": False}
     CHECKS = {"sortOrder": one_of("asc", "desc"), "topN": at_least(1), "minFilterValue": int, "nanFillValue": number}
 
@@ -66,11 +69,13 @@ class _Listwise(Operator):
 
     def _counted(self, schema: T.StructType) -> Column:
         """The value where it counts, else NULL."""
-        x, counts = self.operands(schema)[0][0], []
+        (x,), (kind,) = self.operands(schema)
+        number, counts = x.try_cast("double") if kind.simpleString() == "string" else x, []
+        x = number if self.NUMERIC else x
         if self._second() is not None and not self.p("withSegment"):
             counts.append(F.col(f"`{self._place(schema)[0]}`") <= self.p("topN"))
         if self.p("minFilterValue") is not None:
-            counts.append(x >= F.lit(self.p("minFilterValue")))
+            counts.append(number >= F.lit(self.p("minFilterValue")))
         for condition in counts:
             x = F.when(condition, x)
         return x
@@ -98,9 +103,11 @@ class _Listwise(Operator):
             found = F.col(f"`__lw_{self.uid}`")
         else:
             found = self.statistic(self._counted(schema)).over(Window.partitionBy(*keys))
-        fill = self.p("nanFillValue")
-        if column_type(schema, self.inputs()[0]).simpleString() in ("float", "double") or self.p("inputDtype") in ("float", "double"):
+        fill, kind = self.p("nanFillValue"), self.operands(schema)[1][0].simpleString()
+        if kind in ("float", "double"):
             found = F.nanvl(found, F.lit(None).cast("double"))
+        if kind == "string" and not self.NUMERIC:
+            return {self.outputs()[0]: found}  # no number can fill it
         return {self.outputs()[0]: F.coalesce(found, F.lit(fill)) if fill is not None else found}
 
 
@@ -115,6 +122,8 @@ class ListMinTransformer(_Listwise):
 
 
 class ListMeanTransformer(_Listwise):
+    NUMERIC = True
+
     def statistic(self, x: Column) -> Column:
         return F.mean(x)
 
@@ -137,6 +146,7 @@ class ListRankTransformer(Operator):
     """The place of a row's value in its list, from 1; ties are broken by ``tieBreakCols``."""
 
     ACCEPTS = NUMBERS
+    ROW_WISE = False
     PARAMS = {"queryIdCol": REQUIRED, "sortOrder": "desc", "tieBreakCols": None}
     CHECKS = {"sortOrder": one_of("asc", "desc")}
 

@@ -164,6 +164,9 @@ def _with_element(kind: T.DataType, to: T.DataType) -> T.DataType:
 class Operator(Stage, Transformer):
     """A stage whose output columns are expressions of its input columns."""
 
+    #: Whether an output depends on its own row alone.
+    ROW_WISE = True
+
     def helpers(self, schema: T.StructType) -> dict[str, Column]:
         """Columns that must be there before the expressions are evaluated; they are dropped afterwards."""
         return {}
@@ -227,6 +230,10 @@ class Learner(Stage, Estimator):
         return self.MODEL(**{**shared, **learned})
 
 
-def operators(uses_udf: bool | None = None, kind: type | None = None) -> dict[str, type[Stage]]:
-    """Registered stages by name, filtered by whether they can run Python code and by base class."""
-    return {n: c for n, c in sorted(REGISTRY.items()) if (uses_udf is None or getattr(c, "USES_UDF", False) == uses_udf) and (kind is None or issubclass(c, kind))}
+def operators(uses_udf: bool | None = None, row_wise: bool | None = None, kind: type | None = None) -> dict[str, type[Stage]]:
+    """Registered stages by name: all, or those that (don't) run Python code or need other rows, or have a base class."""
+
+    def has(stage: type[Stage], name: str, wanted: bool | None, default: bool) -> bool:
+        return wanted is None or bool(getattr(stage, name, default)) == wanted
+
+    return {n: c for n, c in sorted(REGISTRY.items()) if has(c, "USES_UDF", uses_udf, False) and has(c, "ROW_WISE", row_wise, False) and (kind is None or issubclass(c, kind))}

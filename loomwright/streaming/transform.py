@@ -7,13 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from loomwright.operators.listwise import ListRankTransformer, _Listwise
 from loomwright.plans.pipeline import FeaturePipelineModel
 
 
 def row_wise(model: FeaturePipelineModel) -> bool:
     """True if no stage looks at other rows, so that the model can be applied to a stream as it is."""
-    return not any(isinstance(s, (_Listwise, ListRankTransformer)) for s in model.stages)
+    return all(s.ROW_WISE for s in model.stages)
 
 
 def transform_stream(stream: DataFrame, model: FeaturePipelineModel) -> DataFrame:

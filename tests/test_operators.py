@@ -27,6 +27,7 @@ def two(spark, cls, rows, schema, **params):
 
 def test_every_stage_is_there():
     assert len(operators(kind=Operator)) == 71 and len(REGISTRY) == 80
+    assert len(operators(row_wise=False, kind=Operator)) == 6 and "HashIndexTransformer" in operators(uses_udf=True)
 
 
 def test_math(spark):
@@ -210,6 +211,8 @@ def test_lists(spark):
     assert lists(spark, stage(op.ListMedianTransformer), rows, schema) == [5.0, 5.0, 5.0, -999.0]
     assert lists(spark, stage(op.ListStdDevTransformer, nanFillValue=7), rows, schema)[3] == 7.0
     assert lists(spark, op.ListRankTransformer(inputCol="v", outputCol="x", queryIdCol="q"), rows, schema) == [2, 1, 3, 1]
+    assert lists(spark, stage(op.ListMaxTransformer, "g"), rows, schema) == ["t", "t", "t", "s"]
+    assert lists(spark, stage(op.ListMeanTransformer, "g"), [(1, 1, 1, "4"), (1, 1, 1, "x"), (2, 1, 1, "y")], schema) == [4.0, 4.0, 0.0]
     rows.append((None, 5, 1, "s"))
     for cls in (op.ListMaxTransformer, op.ListMeanTransformer, op.ListMedianTransformer, op.ListStdDevTransformer):
         for more in ({}, {"minFilterValue": 0}, {"given": ["v", "g"], "withSegment": True}):
