@@ -54,7 +54,7 @@ def _in_order(rows: DataFrame, parts: int, largest: bool, *salt: str) -> DataFra
 
 def _judged(base: DataFrame, largest: bool) -> DataFrame:
     """The rows of ``base`` (id, body and others) with place (1: the row stays), n and best (size and id of its group)."""
-    parts, others = shuffle_partitions(base.sparkSession), [c for c in base.columns]
+    parts, others = shuffle_partitions(base.sparkSession), list(base.columns)
     base = base.withColumns({"h": F.xxhash64("body"), "lead": F.substring("body", 1, LEAD)})
     hot = _hot_texts(base, parts)
     if not hot:

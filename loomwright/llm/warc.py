@@ -14,7 +14,6 @@ is a record; other occurrences of the magic are pieces of the record that they l
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import re
 from collections.abc import Iterator
