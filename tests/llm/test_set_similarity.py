@@ -63,6 +63,13 @@ def test_stage_finds_copies_of_distant_fingerprints(spark):
     assert stage(spark, rows) == list(range(0, 40, 2))
 
 
+def test_stage_keeps_different_texts_of_one_fingerprint(spark):
+    filler = " ".join(["all rights reserved by us"] + ["spam"] * 200)
+    rows = [(i, filler + " " + " ".join(f"{c}{k}" for k in range(60))) for i, c in enumerate("abc")]
+    assert len({simhash.fingerprint(t, 5) for _, t in rows}) == 1
+    assert stage(spark, rows) == [0, 1, 2]
+
+
 def test_columns_and_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, TOKEN string").toDF("doc_id", "text", "row")
     assert drop_near_copies(df).columns == df.columns and drop_near_copies(df).count() == 0
