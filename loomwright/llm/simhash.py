@@ -213,7 +213,8 @@ def near_duplicates(
     A document's component holds all that can be reached over fingerprints of at most ``distance``
     differing bits; its id is the smallest doc_id in it (null if all are null). With ``similarity``
     two fingerprints are only linked if the texts of their smallest ids share so large a part of
-    their shingles, as estimated by sketches; texts of equal fingerprints are linked unchecked (the
+    their shingles, as estimated by sketches of SKETCH
+    hashes, which errs near the limit; texts of equal fingerprints are linked unchecked (the
     pipeline uses :mod:`loomwright.llm.set_similarity` instead). Texts are taken whole, with A-Z lower-cased, as words
     between white space (0x20, 0x09-0x0D); shorter texts than a shingle count as one shingle, texts
     without a word (and null) have fingerprint 0 and are linked like any other. Repeated rows repeat

@@ -70,6 +70,17 @@ def test_stage_keeps_different_texts_of_one_fingerprint(spark):
     assert stage(spark, rows) == [0, 1, 2]
 
 
+@pytest.mark.parametrize("changed,kept", [(216, 2), (219, 2), (220, 1), (230, 1)])
+def test_stage_decides_by_whole_sets(spark, changed, kept):
+    """Two sets of 1,980 shingles; from 1,760 common ones on, their similarity is 0.8 or more."""
+    new = (1980 - 1760) + (220 - changed)
+    words = [f"v{k}" for k in range(1984)]
+    copy = words[: 1984 - new] + [f"z{k}" for k in range(new)]
+    a, b = (set(simhash.shingle_hashes(" ".join(t), 5)) for t in (words, copy))
+    assert (len(a & b) >= 0.8 * len(a | b)) == (kept == 1)
+    assert len(stage(spark, [(1, " ".join(words)), (2, " ".join(copy))])) == kept
+
+
 def test_columns_and_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, TOKEN string").toDF("doc_id", "text", "row")
     assert drop_near_copies(df).columns == df.columns and drop_near_copies(df).count() == 0
