@@ -156,16 +156,17 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def disclosing(seen: DataFrame, texts: DataFrame, documents: int) -> DataFrame:
+def disclosing(seen: DataFrame, held: DataFrame, texts: DataFrame, documents: int) -> DataFrame:
     """(entity, term, share) of the terms that disclose at least GENERALISED of an entity.
 
     ``seen`` has a row (key, entity, term, scene) for each time that a term stands near an entity;
+    ``held`` one (key, entity) for each time that an entity occurs, with a term near it or not;
     ``texts`` has all texts (body).
     """
     once = seen.groupBy("row", "entity", "term").agg(F.min("scene").alias("s1"), F.max("scene").alias("s2"))
     near = once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"), F.min("s1").alias("s1"), F.max("s2").alias("s2"))
     near = near.where("s1 <> s2 and n_te >= 2").select("entity", "term", "n_te")
-    has = seen.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    has = held.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     near = stored(near.join(has, "entity"), "near-terms")
     wanted = _sized(stored(near.select("term").distinct(), "terms"))
     words = texts.select(F.explode(F.array_distinct(F.split(F.lower("body"), r"[^\p{L}]+"))).alias("term"))
@@ -188,10 +189,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
     found = rows.select("doc_id", F.md5(F.col("body").cast("binary")).alias("digest"), "body", base_spans(F.col("body")).alias("base"))
     found = stored(found.withColumn("row", F.monotonically_increasing_id()).drop("body"), "base-spans")
-    seen = found.select("row", "digest", F.explode("base").alias("s"))
-    seen = seen.select("row", "digest", _entity(F.col("s")).alias("entity"), F.explode(_around(F.col("s"))).alias("w"))
+    held = found.select("row", "digest", F.explode("base").alias("s")).withColumn("entity", _entity(F.col("s")))
+    seen = held.select("row", "digest", "entity", F.explode(_around(F.col("s"))).alias("w"))
     seen = seen.select("row", "digest", "entity", "w.term", "w.start", "w.end", "w.scene")
-    told = stored(disclosing(seen, rows, found.count()), "disclosing")
+    told = stored(disclosing(seen, held, rows, found.count()), "disclosing")
     kind = F.when(F.col("share") >= REMOVED, KINDS.index("removed_term")).otherwise(KINDS.index("generalised_term"))
     terms = seen.join(_sized(told), ["entity", "term"]).groupBy("digest", "start", "end").agg(F.max("share").alias("share"))
     terms = terms.groupBy("digest").agg(F.collect_list(F.struct("start", kind.alias("kind"), "end")).alias("terms"))

@@ -111,6 +111,19 @@ def test_terms_that_disclose_an_entity(spark):
     assert "zebulon" in named and "hapaxword" not in named and "rarely" not in named
 
 
+def test_documents_with_an_entity_alone_count(spark):
+    """D = 1000, n_te = 2, n_t = 2, n_e = 20: the share is 1.0; with n_t = 8 it is 0.65, and 0.78 if n_e were 2."""
+    data = ["Zebulon mail zeb@x.org today", "hello Zebulon zeb@x.org"] + ["12 zeb@x.org 34"] * 18 + ["zebulon"] * 6 + ["other"] * 974
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(data)], "doc_id long, text string")
+    seen = spark.createDataFrame([(0, "e", "zebulon", 1), (1, "e", "zebulon", 2)], "row long, entity string, term string, scene long")
+    held = spark.createDataFrame([(i, "e") for i in range(20)], "row long, entity string")
+    share = pii.disclosing(seen, held, df.select(F.col("text").alias("body")), 1000).collect()
+    assert [round(r["share"], 4) for r in share] == [0.6456]
+    few = data[:2] + data[2:20] + ["zebulon"] * 8 + data[28:] + ["other"] * 2
+    got = pii.find_pii(spark.createDataFrame([(i, t) for i, t in enumerate(few)], "doc_id long, text string")).where("doc_id < 2").collect()
+    assert all(s["kind"] < 4 for r in got for s in r["spans"])
+
+
 def test_sanitised_texts_keep_columns_and_rows(spark):
     rows = [(1, "mail a@b.co now", "en", 3), (2, None, "en", 0), (1, "mail a@b.co now", "en", 3), (3, "clean", None, 5), (None, "a@b.co 1.2.3.4", "x", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, digest int")
