@@ -1,6 +1,8 @@
 """Every query of the operators against its SQL, on the smallest tables."""
 
 import math
+import shutil
+import subprocess
 import sys
 from pathlib import Path
 
@@ -51,3 +53,29 @@ def test_entry_module_imports_and_lists_the_queries():
     import __spark_entry__ as entries
 
     assert set(QUERIES) <= set(entries.queries()) and set(entries.oracle_sql()) <= set(entries.queries())
+
+
+RUN_WITHOUT = """
+import __spark_entry__ as entries
+from pyspark.sql import SparkSession
+names = entries.queries()
+assert names and not any(n.startswith("op") or n == "pipeline" for n in names) and set(entries.oracle_sql()) <= set(names), names
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+assert entries.entry(spark).count() > 0
+"""
+
+
+@pytest.mark.skipif(not Path(DIR).is_dir(), reason="no tables here")
+@pytest.mark.parametrize("gone", [("loomwright/llm", "tests/llm"), ("loomwright/llm", "tests/llm", "corpus_pipeline.py")])
+def test_the_rest_works_without_the_corpus_operators(tmp_path, gone):
+    root = Path(__file__).resolve().parent.parent
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "spark-warehouse"))
+    for name in gone:
+        path = copy / name
+        if path.is_dir():
+            shutil.rmtree(path)
+        elif path.exists():
+            path.unlink()
+    done = subprocess.run([sys.executable, "-c", RUN_WITHOUT], cwd=copy, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
