@@ -27,9 +27,20 @@ def values(column: Any) -> Iterator[Any]:
     return (x.as_py() for x in column)
 
 
+#: Bytes for each core below which a table is dealt out again.
+SMALL = 8_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the input tables.
+
+    A small one may lie in a single row group, which one task would read and work on; its rows are
+    dealt to all cores. Others are left as the files have them.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL * cores
+    return df.repartition(cores) if small else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -59,6 +70,41 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys (8 to 16 bytes each) that are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+#: Rows of one key that a single task may get in a join.
+KEY_ROWS = 5_000
+
+
+def sized(keys: DataFrame) -> DataFrame:
+    """Rows of a few short columns, marked to be broadcast if they have been counted and are few."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, total: int | None = None) -> DataFrame:
+    """The inner join on a long ``key`` that is unique in ``table``, with the rows of frequent keys dealt to several tasks.
+
+    Keys with more than KEY_ROWS rows, and more than the mean of a partition, are frequent; there are
+    fewer of them than partitions. Each gets so many salts that none has much more than that, and
+    its row of ``table`` is repeated for every salt. Both inputs should be stored; ``total`` is the
+    number of ``rows``, if it is known.
+    """
+    total = rows.count() if total is None else total
+    parts = shuffle_partitions(rows.sparkSession)
+    share = max(total // parts, KEY_ROWS)
+    if total <= share:
+        return rows.join(table, key)
+    # Fewer than ``parts`` keys can each have more than total / parts rows, so the limit loses none of them.
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    hot = [(r[key], 1 + 2 * r["__n"] // share) for r in counts.where(F.col("__n") > share).limit(parts).collect()]
+    if not hot:
+        return rows.join(table, key)
+    listed = F.broadcast(rows.sparkSession.createDataFrame(hot, f"{key} long, __salts int"))
+    left = rows.join(listed, key, "left").withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
+    right = table.join(listed, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
 def held_out(key: Column) -> Column:
     """True for the fifth of the documents that models never learn from."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import pick, stored
+from loomwright.llm.common import pick, spread_join, stored
 from loomwright.llm.common import values as each_of
 from loomwright.llm.components import components
 
@@ -34,14 +34,8 @@ SAMPLE, PAIRS = 20_000, 1_000_000
 #: Cost of verifying a candidate, against writing a probe.
 CANDIDATE_COST = 0.05
 MOST_PARTITIONS = 8
-#: Hashes of a sketch, by which the similarity of two texts is estimated.
-SKETCH = 96
 #: Distances at which links are joined into groups before the given one.
 FIRST_DISTANCES = (1, 4)
-#: Ids of copies (8 bytes each) that are broadcast; more are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
-#: A null id is later than all others.
-LAST = (1 << 63) - 1
 
 
 def shingle_hashes(text: str, words: int) -> list[int]:
@@ -65,10 +59,11 @@ def shingle_hashes(text: str, words: int) -> list[int]:
 
 def fingerprint(text: str, words: int) -> int:
     """The SimHash of a text: a bit is set if it is in over half of its shingles' hashes."""
-    return _simhash(shingle_hashes(text, words))
+    return simhash_of(shingle_hashes(text, words))
 
 
-def _simhash(values: list[int]) -> int:
+def simhash_of(values) -> int:
+    """The SimHash of a text by the hashes of its shingles (a list or an array)."""
     import numpy as np
 
     count = np.zeros(BITS, dtype=np.int64)
@@ -78,33 +73,12 @@ def _simhash(values: list[int]) -> int:
     return int(np.packbits(2 * count > len(values), bitorder="little").view("<u8")[0])
 
 
-def _sketch(values: list[int]):
-    """The least SKETCH of the distinct hashes, less their lower halves, in order."""
-    import numpy as np
-
-    x = (np.array(values, dtype=np.uint64) >> np.uint64(33)).astype(np.int32)
-    if len(x) > 8 * SKETCH:  # most hashes aren't needed in order
-        least = np.unique(np.partition(x, 4 * SKETCH)[: 4 * SKETCH])
-        if len(least) >= SKETCH:
-            return least[:SKETCH]
-    return np.unique(x)[:SKETCH]
-
-
-def _fingerprints(batches: Iterator[pa.RecordBatch], words: int, sketched: bool) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     import numpy as np
 
     for b in batches:
-        hashes = (shingle_hashes(t or "", words) for t in each_of(b.column(1)))
-        pairs = [(_simhash(h), _sketch(h) if sketched else None) for h in hashes]
-        found = np.array([p[0] for p in pairs], dtype=np.uint64)
-        sketches = pa.array([p[1] for p in pairs], pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64)), sketches], names=["doc_id", "fp", "sketch"])
-
-
-def _similarity(a: Column, b: Column) -> Column:
-    """The estimated share of shingles in common, by two sketches; exact if all hashes are in them."""
-    least = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    return F.when(F.size(least) == 0, 1.0).otherwise(F.size(F.array_intersect(F.array_intersect(a, b), least)) / F.size(least))
+        found = np.array([fingerprint(t or "", words) for t in each_of(b.column(1))], dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
 
 @dataclass(frozen=True)
@@ -205,66 +179,45 @@ def links(values: DataFrame, plan: Plan, distance: int) -> DataFrame:
     return left.join(right, met & new).select("a", "b")
 
 
-def near_duplicates(
-    docs: DataFrame, words: int = 5, distance: int = 3, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) and component_id of each document.
+def plans_for(values: DataFrame, distance: int, first: tuple[int, ...] = FIRST_DISTANCES) -> list[tuple[int, Plan]]:
+    """Distances at which links are looked for, one after the other, each with its plan; none without values.
 
-    A document's component holds all that can be reached over fingerprints of at most ``distance``
-    differing bits; its id is the smallest doc_id in it (null if all are null). With ``similarity``
-    two fingerprints are only linked if the texts of their smallest ids share so large a part of
-    their shingles, as estimated by sketches of SKETCH
-    hashes, which errs near the limit; texts of equal fingerprints are linked unchecked (the
-    pipeline uses :mod:`loomwright.llm.set_similarity` instead). Texts are taken whole, with A-Z lower-cased, as words
-    between white space (0x20, 0x09-0x0D); shorter texts than a shingle count as one shingle, texts
-    without a word (and null) have fingerprint 0 and are linked like any other. Repeated rows repeat
-    their result, an empty table gives an empty result, and other columns are not looked at.
+    ``values`` has distinct fingerprints in column fp. A sample of about SAMPLE of them decides the
+    cost alone: any plan finds the same links.
     """
     import numpy as np
 
-    rows = pick(docs, doc_id=id_col, text=text_col)
-    made = functools.partial(_fingerprints, words=words, sketched=similarity is not None)
-    rows = stored(rows.mapInArrow(made, "doc_id long, fp long, sketch array<int>"), "fingerprints")
-    values = rows.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("least"), "sketch")).alias("m"))
-    values = stored(values.select("fp", F.when(F.col("m.least") < LAST, F.col("m.least")).alias("least"), "m.sketch"), "fingerprint-values")
     count = values.count()
     if not count:
-        return rows.select("doc_id", "fp", F.col("doc_id").alias("component_id"))
+        return []
     drawn = values.where(F.pmod(F.xxhash64("fp"), F.lit(1_000_000)) < 1_000_000 * min(1.0, SAMPLE / count)).select("fp")
     sample = drawn.toPandas()["fp"].to_numpy(dtype=np.int64).view(np.uint64)
-    if not len(sample):
-        sample = np.array([0], dtype=np.uint64)
+    sample = sample if len(sample) else np.array([0], dtype=np.uint64)
+    return [(d, make_plan(sample, count, d)) for d in (*(d for d in first if d < distance), distance)]
 
-    def linked(near: DataFrame, within: int) -> DataFrame:
-        found = links(near, make_plan(sample, count, within), within)
-        if similarity is None:
-            return found
-        one = values.select(F.col("fp").alias("a"), F.col("sketch").alias("sa"))
-        two = values.select(F.col("fp").alias("b"), F.col("sketch").alias("sb"))
-        return found.join(one, "a").join(two, "b").where(_similarity(F.col("sa"), F.col("sb")) >= similarity).select("a", "b")
 
+def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and component_id of each document.
+
+    A document's component holds all that can be reached over fingerprints of at most ``distance``
+    differing bits; its id is the smallest doc_id in it (null if all are null). Texts are taken
+    whole, with A-Z lower-cased, as words between white space (0x20, 0x09-0x0D); a text with fewer
+    words than a shingle counts as one shingle, texts without a word (empty or null) have fingerprint
+    0 and are linked like any other. Repeats of a shingle count. Time and memory of a very long text
+    grow with its length. Rows that repeat an id or a text have equal results; of an id in several
+    components every row has its own text's. There are no ties to break. An empty table gives an
+    empty result; columns are found by exact name, and others, whatever their names, are not looked at.
+    For links by a similarity of texts see :mod:`loomwright.llm.set_similarity`.
+    """
+    rows = pick(docs, doc_id=id_col, text=text_col)
+    rows = stored(rows.mapInArrow(functools.partial(_fingerprints, words=words), "doc_id long, fp long"), "fingerprints")
+    values = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-values")
     near = values.select("fp", F.col("fp").alias("group"))
-    for within in [*(d for d in FIRST_DISTANCES if d < distance), distance]:
+    for within, plan in plans_for(values, distance):
         inside = near.where("fp <> group").select(F.col("fp").alias("a"), F.col("group").alias("b"))
-        roots = components(linked(near, within).unionByName(inside)).withColumnRenamed("node", "fp")
+        roots = components(links(near, plan, within).unionByName(inside)).withColumnRenamed("node", "fp")
         near = stored(values.select("fp").join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("group")), "fingerprint-groups")
     rooted = values.select("fp", "least").join(near, "fp")
     named = rooted.groupBy("group").agg(F.min("least").alias("component_id"))
-    named = stored(rooted.join(named, "group").select("fp", "component_id"), "components")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def drop_near_copies(
-    docs: DataFrame, words: int = 5, distance: int = 8, similarity: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """The rows, with all columns, that stay when each component of :func:`near_duplicates` keeps its smallest id.
-
-    Rows of one id stay or go together; rows with a null id stay.
-    """
-    found = near_duplicates(docs, words, distance, similarity, id_col, text_col)
-    gone = stored(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-copies")
-    if gone.count() <= BROADCAST_KEYS:
-        gone = F.broadcast(gone)
-    names = docs.columns
-    plain = docs.toDF(*[f"__c{i}" for i in range(len(names))])
-    return plain.join(gone, F.col(f"__c{names.index(id_col)}") == F.col("doc_id"), "left_anti").toDF(*names)
+    named = stored(spread_join(rooted, named, "group").select("fp", "component_id"), "components")
+    return spread_join(rows, named, "fp").select("doc_id", "fp", "component_id")

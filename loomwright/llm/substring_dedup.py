@@ -20,11 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.chunks import ChunkTable
 from loomwright.llm.common import pick, stored, values
+from loomwright.llm.words import BASES, window_hashes, word_hashes, words_of
 
-#: Odd multipliers of the two rolling hashes.
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Document keys (16 bytes each) that are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 BATCH_ROWS, BATCH_CHARS = 200_000, 4_000_000
@@ -32,44 +30,6 @@ BATCH_ROWS, BATCH_CHARS = 200_000, 4_000_000
 LAST = (1 << 63) - 1
 
 
-@functools.cache
-def _word_hashes() -> ChunkTable:
-    import xxhash
-
-    return ChunkTable(xxhash.xxh64_intdigest)
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """The words between white space (0x20, 0x09-0x0D), in UTF-8."""
-    return (text or "").encode("utf-8", "replace").split()
-
-
-def _hashed(words: list[bytes]):
-    import numpy as np
-
-    return np.fromiter(map(_word_hashes().__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-def window_hashes(x, length: int, base: int):
-    """Hash of each window of so many word hashes: sum of x[p + j] * base**j, modulo 2**64."""
-    import numpy as np
-
-    n = len(x)
-    if n < length:
-        return np.zeros(0, dtype=np.uint64)
-    powers, back = _powers(base, 1 << max(n, 1024).bit_length())
-    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(x * powers[:n], dtype=np.uint64)])
-    return (total[length:] - total[:-length]) * back[: n - length + 1]
-
-
-@functools.lru_cache(maxsize=4)
-def _powers(base: int, n: int):
-    import numpy as np
-
-    up = lambda b: np.concatenate([np.ones(1, dtype=np.uint64), np.cumprod(np.full(n, b, dtype=np.uint64), dtype=np.uint64)])
-    return up(base), up(pow(base, -1, 1 << 64))
-
-
 def anchors(x, window: int):
     """(hash, first window, last window) of the anchors of all windows of a text's word hashes."""
     import numpy as np
@@ -104,7 +64,7 @@ def _survey(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
 
         for id_, th, text in zip(*map(values, b.columns), strict=True):
             words = words_of(text)
-            rows.append((id_, th, len(words), hashlib.md5(b" ".join(words)).digest(), *anchors(_hashed(words), window)))
+            rows.append((id_, th, len(words), hashlib.md5(b" ".join(words)).digest(), *anchors(word_hashes(words), window)))
             chars += len(text or "")
             if chars >= BATCH_CHARS:
                 yield flush()
@@ -128,7 +88,7 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
         for id_, th, text, ranges in zip(*map(values, b.columns), strict=True):
-            x = _hashed(words_of(text))
+            x = word_hashes(words_of(text))
             wanted = np.zeros(max(len(x) - window + 1, 0) + 1, dtype=np.int64)
             for r in ranges:
                 wanted[r["lo"]] += 1

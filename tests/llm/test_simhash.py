@@ -85,35 +85,21 @@ def test_components_of_paths_stars_and_loops(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_similarity_by_sketches(spark):
-    from pyspark.sql import functions as F
-
-    draw = random.Random(4)
-    words = [draw.choice("abcdefgh") * draw.randint(1, 5) + str(i) for i in range(400)]
-    texts = [" ".join(words), " ".join(words[:380] + ["new"] * 20), " ".join(words[:300] + [w + "x" for w in words[300:]]), "a b", "a b c", "", None]
-    shingles = [set(simhash.shingle_hashes(t or "", 5)) for t in texts]
-    rows = [(i, j, simhash._sketch(list(a)).tolist(), simhash._sketch(list(b)).tolist()) for i, a in enumerate(shingles) for j, b in enumerate(shingles)]
-    df = spark.createDataFrame(rows, "i int, j int, a array<int>, b array<int>")
-    for r in df.select("i", "j", simhash._similarity(F.col("a"), F.col("b")).alias("s")).collect():
-        a, b = shingles[r["i"]], shingles[r["j"]]
-        exact = len(a & b) / len(a | b) if a | b else 1.0
-        assert abs(r["s"] - exact) <= (0.12 if len(a | b) > simhash.SKETCH else 1e-9), (r, exact)
-
-
-def test_near_copies_go_and_others_stay(spark):
-    draw = random.Random(9)
-    text = lambda: [draw.choice("abcdefgh") * draw.randint(1, 4) + str(draw.randint(0, 500)) for _ in range(300)]
-    rows, near = [], set()
-    for i in range(30):
-        words = text()
-        rows.append((i, " ".join(words), "en"))
-        if i % 3 == 0:
-            words[draw.randrange(300)] = "changed"
-            rows.append((100 + i, " ".join(words), None))
-            near.add(100 + i)
-    rows += [(200, None, "x"), (None, "no id", "x"), (None, "no id", "x")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, FP string").toDF("doc_id", "text", "fp")
-    left = simhash.drop_near_copies(df)
-    assert left.columns == df.columns
-    kept = [r["doc_id"] for r in left.collect()]
-    assert sorted(map(str, kept)) == sorted(str(r[0]) for r in rows if r[0] not in near)
+def test_greatest_id_is_an_id_like_any_other(spark):
+    docs = spark.createDataFrame([((1 << 63) - 1, "a b c d e"), (None, "a b c d e"), (-(1 << 63), "x y z")], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs, 4, 4).collect()}
+    assert got == {((1 << 63) - 1, (1 << 63) - 1), (None, (1 << 63) - 1), (-(1 << 63), -(1 << 63))}
+
+
+def test_a_third_of_the_rows_in_one_component(spark, monkeypatch):
+    monkeypatch.setattr("loomwright.llm.common.KEY_ROWS", 20)
+    texts = [""] * 150 + [" ".join(f"w{i}x{k}" for k in range(8)) for i in range(300)] + ["same text for all of these"] * 150
+    got = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4, 4).collect()
+    want = plain_components([(i, plain_fingerprint(t, 4)) for i, t in enumerate(texts)], 4)
+    assert {(r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in got} == want
+
+
+def test_a_very_long_text(spark):
+    text = " ".join(f"w{i % 5000}" for i in range(300_000))
+    got = simhash.near_duplicates(spark.createDataFrame([(1, text), (2, text + " end")], "doc_id long, text string"), 4, 4).collect()
+    assert {r["component_id"] for r in got} == {1} and {r["fp"] % (1 << 64) for r in got if r["doc_id"] == 1} == {simhash.fingerprint(text, 4)}
