@@ -62,12 +62,37 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def rolled_shingles(text: str | None, words: int) -> np.ndarray:
-    """A 64-bit hash of each shingle of so many words of a text with A-Z lower-cased, repeats included.
+def _is_space() -> np.ndarray:
+    import numpy as np
+
+    out = np.zeros(256, dtype=bool)
+    out[[0x20, *range(0x09, 0x0E)]] = True
+    return out
+
 
-    A text with fewer words is one shingle, one without a word has none. Rolling hashes of words, so
-    that a shingle costs no call of its own.
+def rolled_shingles(texts: list[str | None], words: int) -> list[np.ndarray]:
+    """For each text a 64-bit hash of each of its shingles of so many words, with A-Z lower-cased, repeats included.
+
+    A text with fewer words is one shingle, one without a word (null too) has none. Hashes are rolled
+    over the bytes of all texts at once, and then over their words, so that neither a word nor a
+    shingle costs a call of its own.
     """
-    # On bytes, lower() changes A-Z alone and split() parts at 0x20 and 0x09-0x0D alone.
-    x = word_hashes((text or "").encode("utf-8", "replace").lower().split())
-    return mixed(window_hashes(x, min(words, len(x)), BASES[0])) if len(x) else x
+    import numpy as np
+
+    # On bytes, lower() changes A-Z alone.
+    raw = [(t or "").encode("utf-8", "replace").lower() + b" " for t in texts]
+    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    gap = _is_space()[data]
+    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    edge = edge if not len(data) or gap[0] else np.concatenate([[0], edge])
+    begin, end = edge[::2], edge[1::2]
+    up, down = _powers(BASES[1], 1 << max(len(data), 1024).bit_length())
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
+    # The factor by the word's length tells words apart whose sums begin alike.
+    x = mixed((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(BASES[0]))
+    firsts = np.searchsorted(begin, np.cumsum([0, *map(len, raw)]))
+    out = []
+    for a, z in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
+        own = x[a:z]
+        out.append(mixed(window_hashes(own, min(words, len(own)), BASES[0])) if len(own) else own)
+    return out

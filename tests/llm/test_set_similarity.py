@@ -70,17 +70,68 @@ def test_stage_keeps_different_texts_of_one_fingerprint(spark):
     assert stage(spark, rows) == [0, 1, 2]
 
 
-@pytest.mark.parametrize("changed,kept", [(216, 2), (219, 2), (220, 1), (230, 1)])
-def test_stage_decides_by_whole_sets(spark, changed, kept):
-    """Two sets of 1,980 shingles; from 1,760 common ones on, their similarity is 0.8 or more."""
-    new = (1980 - 1760) + (220 - changed)
-    words = [f"v{k}" for k in range(1984)]
-    copy = words[: 1984 - new] + [f"z{k}" for k in range(new)]
-    a, b = (set(simhash.shingle_hashes(" ".join(t), 5)) for t in (words, copy))
-    assert (len(a & b) >= 0.8 * len(a | b)) == (kept == 1)
-    assert len(stage(spark, [(1, " ".join(words)), (2, " ".join(copy))])) == kept
+def test_stage_decides_by_whole_sets(spark):
+    """Pairs of sets of 1,980 shingles; from 1,760 common ones on, their similarity is 0.8 or more."""
+    rows, want = [], []
+    for i, (changed, kept) in enumerate([(216, 2), (219, 2), (220, 1), (230, 1)]):
+        new = (1980 - 1760) + (220 - changed)
+        words = [f"v{i}x{k}" for k in range(1984)]
+        copy = words[: 1984 - new] + [f"z{i}x{k}" for k in range(new)]
+        a, b = (set(simhash.shingle_hashes(" ".join(t), 5)) for t in (words, copy))
+        assert (len(a & b) >= 0.8 * len(a | b)) == (kept == 1)
+        rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join(copy))]
+        want += [10 * i, 10 * i + 1][:kept]
+    assert stage(spark, rows) == want
 
 
 def test_columns_and_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, TOKEN string").toDF("doc_id", "text", "row")
     assert drop_near_copies(df).columns == df.columns and drop_near_copies(df).count() == 0
+
+
+def test_similar_sets_share_as_many_signatures_as_they_need():
+    """Pairs of all sizes, at and above the similarity: the guarantee that the second step rests on."""
+    import collections
+
+    import numpy as np
+
+    from loomwright.llm.set_similarity import signatures
+
+    draw = np.random.default_rng(5)
+    for similarity in (0.8, 0.7, 0.9, 0.6):
+        for _ in range(150):
+            n = int(draw.choice([1, 2, 3, 4, 5, 6, 8, 9, 10, 12, 17, 25, 40, 99, 300, 1500]))
+            x = draw.integers(0, 1 << 63, n).astype(np.uint64)
+            gone = int(draw.integers(0, n))
+            added = int(draw.integers(0, n))
+            while n - gone < similarity * (n + added) - 1e-12:
+                gone, added = (gone // 2, added // 2) if gone + added > 1 else (0, 0)
+            y = np.unique(np.concatenate([x[gone:], draw.integers(0, 1 << 63, added).astype(np.uint64)]))
+            x = np.unique(x)
+            assert len(np.intersect1d(x, y)) >= similarity * len(np.union1d(x, y)) - 1e-9
+            made = collections.defaultdict(dict)
+            for i, scheme, need, s in signatures([x, y], similarity):
+                assert scheme not in made[i] and len(set(s.tolist())) == len(s)
+                made[i][scheme] = need, set(s.tolist())
+            common = [(len(made[0][k][1] & made[1][k][1]), max(made[0][k][0], made[1][k][0])) for k in made[0] if k in made[1]]
+            assert any(c >= max(need, 1) for c, need in common), (similarity, len(x), len(y), common)
+
+
+def test_shingles_are_told_apart_like_those_of_texts():
+    from loomwright.llm.words import rolled_shingles
+
+    texts = ["a b c d e f", "A b\tc  d\x0be\n f ", "", None, " ", "one two", "one twO", "onetwo", "aa aaa", "aaa aa", "\x1ca\xa0b c", "é É e", "a b c d e", "x " * 5000 + "a b c d e f"]
+    rolled = [set(x.tolist()) for x in rolled_shingles(texts, 5)]
+    known = [set(simhash.shingle_hashes(t or "", 5)) for t in texts]
+    for i in range(len(texts)):
+        assert len(rolled[i]) == len(known[i]) and len(rolled_shingles([texts[i]], 5)[0]) == len(simhash.shingle_hashes(texts[i] or "", 5))
+        for j in range(len(texts)):
+            assert len(rolled[i] & rolled[j]) == len(known[i] & known[j]), (texts[i], texts[j])
+    assert rolled_shingles([], 5) == []
+
+
+def test_many_links_are_joined_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr("loomwright.llm.components.FEW_LINKS", 0)
+    rows = edited_copies(4)
+    got = near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 5, 0.8).collect()
+    assert sorted(map(tuple, got), key=str) == plain_components(rows, 0.8)
