@@ -1,15 +1,21 @@
 """Best-fit packing of tokenised documents into sequences, by hierarchical residual packing.
 
-Documents are tokenised and cut into pieces. Each partition packs its pieces best-fit decreasing;
-bins that are nearly full are final, the others go up a tree: at each level the open bins of
-``FAN_IN`` neighbouring groups meet in one task, which packs them as items, best-fit decreasing
-again. A group hands on at most ``HANDED_ON`` rows of open bins, emptiest first; what it does not
-hand on is final as it is. So no task grows with the input, and no piece is lost.
+Documents are tokenised and cut into pieces. Each partition packs its pieces best-fit decreasing, so
+many at a time; bins that are nearly full are final, the others go up a tree as items: at each level
+the open bins of ``FAN_IN`` neighbouring groups meet in one task, which packs them best-fit
+decreasing again. A bin is a row of its number and fill there; the few that move into another bin are
+joined to their pieces at the end.
+
+Of the open bins of one fill, a group hands on at most ``FAN_IN * LEVELS``. That loses nothing: best
+fit leaves at most one bin that is at most half full, and two bins that are over half full don't
+fit together. So on each level above at most ``FAN_IN`` bins look for a place, each takes one bin at
+most, and bins of one fill are as good as each other. No task grows with the input.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import zlib
 from array import array
@@ -20,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.chunks import ChunkTable
-from loomwright.llm.common import pick, stored, values
+from loomwright.llm.common import pick, sized, stored, values
 
 FAN_IN = 8
-#: Rows of open bins that a group hands to the next level at most.
-HANDED_ON = 2_000
+#: Levels that the tree may have: enough for 8**16 groups.
+LEVELS = 16
 #: The part of a bin, as 1 / NEARLY_FULL, that may be free in one that counts as nearly full.
 NEARLY_FULL = 256
 #: Pieces that one task packs at a time at the lowest level.
@@ -105,7 +111,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, size: int, i
 
     Columns: doc_id, piece (from 0), start (the document's tokens before it), length, ids_crc32 (of
     the ids as little-endian uint32). A document is its ids followed by ``end_id``; a null text
-    counts as empty, so has that id alone.
+    counts as empty, so has that id alone. A very long text is held whole with its ids. Repeated rows
+    repeat their pieces, null ids stay null, an empty table gives an empty result; columns are found by
+    exact name, and others are not looked at.
     """
     rows = pick(docs, doc_id=id_col, text=text_col)
     return rows.mapInArrow(functools.partial(_pieces, path=tokenizer_path, end_id=end_id, size=size), PIECE_FIELDS)
@@ -133,48 +141,44 @@ def best_fit(sizes: list[int], room: int) -> list[list[int]]:
     return bins
 
 
-def _packed(items: list[tuple[int, int, list[int]]], room: int, last: bool) -> list[tuple[int, int, int, bool]]:
-    """(row, sequence, shift of its offset, open) of each row, after packing items.
-
-    An item is (its size, its sequence, its rows); a bin takes the sequence of its first item.
-    """
-    sizes, out, opened = [x[0] for x in items], [], []
-    for members in best_fit(sizes, room):
-        fill, sequence, rows = 0, items[members[0]][1], []
-        for i in members:
-            rows += [(row, fill) for row in items[i][2]]
-            fill += sizes[i]
-        if last or room - fill <= room // NEARLY_FULL:
-            out += [(row, sequence, shift, False) for row, shift in rows]
-        else:
-            opened.append((fill, sequence, rows))
-    budget = HANDED_ON
-    for _, sequence, rows in sorted(opened, key=lambda x: (x[0], x[1])):
-        budget -= len(rows)
-        out += [(row, sequence, shift, budget >= 0) for row, shift in rows]
+def _handed_on(fills: list[int], room: int) -> list[bool]:
+    """Which bins go up the tree: those that aren't nearly full, of each fill as many as can be needed."""
+    seen, out = [0] * (room + 1), []
+    for fill in fills:
+        seen[fill] += 1
+        out.append(room - fill > room // NEARLY_FULL and seen[fill] <= FAN_IN * LEVELS)
     return out
 
 
-def _local(batches: Iterator[pa.RecordBatch], room: int) -> Iterator[pa.RecordBatch]:
+def _local(batches: Iterator[pa.RecordBatch], room: int, parts: int) -> Iterator[pa.RecordBatch]:
     """The lowest level: packs the pieces of a partition, LOCAL_ITEMS at a time."""
     import numpy as np
     from pyspark import TaskContext
 
     part, made = TaskContext.get().partitionId(), 0
+    groups = itertools.count(part, parts)
 
     def pack(batch: pa.Table) -> Iterator[pa.RecordBatch]:
         nonlocal made
-        lengths = batch.column("length").to_numpy()
-        items = [(int(n), (part << 36) + made + i, [i]) for i, n in enumerate(lengths)]
-        made += len(items)
-        placed = np.array(_packed(items, room, False), dtype=np.int64).reshape(-1, 4)
-        out = batch.take(pa.array(placed[:, 0]))
-        for name, column in (("sequence_id", placed[:, 1]), ("offset", placed[:, 2]), ("open", placed[:, 3].astype(bool)), ("origin", np.full(len(placed), part))):
+        lengths = batch.column("length").to_pylist()
+        bins = best_fit(lengths, room)
+        fills = [sum(lengths[i] for i in members) for members in bins]
+        counts = [len(members) for members in bins]
+        rows = np.array([i for members in bins for i in members], dtype=np.int64)
+        offsets = [at for members in bins for at in itertools.accumulate([0, *(lengths[i] for i in members[:-1])])]
+        out = batch.take(pa.array(rows))
+        number = (part << 36) + made + np.arange(len(bins))
+        made += len(bins)
+        columns = {
+            "bin": np.repeat(number, counts), "offset": np.array(offsets, dtype=np.int64), "fill": np.repeat(np.array(fills, dtype=np.int64), counts),
+            "handed": np.repeat(np.array(_handed_on(fills, room), dtype=bool), counts), "origin": np.full(len(rows), next(groups)),
+        }
+        for name, column in columns.items():
             out = out.append_column(name, pa.array(column))
         yield from out.to_batches()
 
     held: list[pa.RecordBatch] = []
-    for b in batches:
+    for b in (whole.slice(i, LOCAL_ITEMS) for whole in batches for i in range(0, whole.num_rows, LOCAL_ITEMS)):
         held.append(b)
         if sum(x.num_rows for x in held) >= LOCAL_ITEMS:
             yield from pack(pa.Table.from_batches(held))
@@ -183,22 +187,22 @@ def _local(batches: Iterator[pa.RecordBatch], room: int) -> Iterator[pa.RecordBa
         yield from pack(pa.Table.from_batches(held))
 
 
-def _merge(room: int, last: bool):
-    """Packs one group of a higher level, whose open bins are the items."""
-    return lambda pdf: _merged(pdf, room, last)
-
-
-def _merged(pdf, room: int, last: bool):
+def _merged(pdf, room: int):
+    """Packs the open bins of a group of a higher level; a sequence has the number of its first bin."""
     import numpy as np
+    import pandas as pd
 
-    pdf = pdf.sort_values(["sequence_id", "offset"], kind="stable").reset_index(drop=True)
-    sequences, lengths, offsets = pdf["sequence_id"].to_numpy(), pdf["length"].to_numpy(), pdf["offset"].to_numpy()
-    cuts = np.flatnonzero(np.r_[True, sequences[1:] != sequences[:-1]])
-    items = [(int(lengths[a:z].sum()), int(sequences[a]), list(range(a, z))) for a, z in zip(cuts, [*cuts[1:], len(pdf)], strict=True)]
-    placed = np.array(_packed(items, room, last), dtype=np.int64).reshape(-1, 4)
-    out = pdf.iloc[placed[:, 0]].copy()
-    out["sequence_id"], out["offset"], out["open"] = placed[:, 1], offsets[placed[:, 0]] + placed[:, 2], placed[:, 3].astype(bool)
-    return out
+    pdf = pdf.sort_values(["fill", "bin"], ascending=[False, True], kind="stable").reset_index(drop=True)
+    fills, numbers = pdf["fill"].tolist(), pdf["bin"].to_numpy()
+    packed = best_fit(fills, room)
+    totals, counts = [sum(fills[i] for i in members) for members in packed], [len(members) for members in packed]
+    rows = np.array([i for members in packed for i in members], dtype=np.int64)
+    shifts = [at for members in packed for at in itertools.accumulate([0, *(fills[i] for i in members[:-1])])]
+    heads = numbers[[members[0] for members in packed]]
+    return pd.DataFrame({
+        "bin": numbers[rows], "sequence": np.repeat(heads, counts), "shift": shifts, "fill": np.repeat(totals, counts),
+        "handed": np.repeat(_handed_on(totals, room), counts), "origin": np.full(len(rows), pdf["origin"].iloc[0]),
+    })
 
 
 def best_fit_pack(pieces: DataFrame, size: int) -> DataFrame:
@@ -206,27 +210,39 @@ def best_fit_pack(pieces: DataFrame, size: int) -> DataFrame:
 
     ``pieces`` has the columns of :func:`token_pieces` with lengths from 1 to ``size``. Sequences have
     no gaps and start at offset 0. Rows count one by one, also when ids repeat or are null; equal
-    lengths are packed in the order of the rows. An empty table gives an empty result.
+    lengths are packed in the order of the rows. An empty table gives an empty result, and other
+    columns are not looked at.
     """
-    fields = f"{PIECE_FIELDS}, sequence_id long, offset long, open boolean, origin long"
     columns = [x.split()[0] for x in PIECE_FIELDS.split(", ")]
-    level = stored(pieces.select(columns).mapInArrow(functools.partial(_local, room=size), fields), "pack")
-    done = [level.where("not open")]
-    groups = (level.agg(F.max("origin")).first()[0] or 0) + 1
-    while True:
+    pieces = pieces.select(columns)
+    local = functools.partial(_local, room=size, parts=max(1, pieces.rdd.getNumPartitions()))
+    placed = stored(pieces.mapInArrow(local, f"{PIECE_FIELDS}, bin long, offset long, fill long, handed boolean, origin long"), "pack")
+    groups = (placed.agg(F.max("origin")).first()[0] or 0) + 1
+    opened, moves = placed.where("handed and offset = 0").select("bin", "fill", "origin"), []
+    while groups > 1:
         groups = -(-groups // FAN_IN)
-        met = level.where("open").withColumn("origin", F.floor(F.col("origin") / FAN_IN))
-        level = stored(met.groupBy("origin").applyInPandas(_merge(size, groups == 1), fields), "pack")
-        done.append(level.where("not open"))
-        if groups == 1:
-            break
-    return functools.reduce(DataFrame.unionByName, done).select(*columns, "sequence_id", "offset")
+        met = opened.withColumn("origin", F.floor(F.col("origin") / FAN_IN))
+        merged = met.groupBy("origin").applyInPandas(functools.partial(_merged, room=size), "bin long, sequence long, shift long, fill long, handed boolean, origin long")
+        level = stored(merged, "pack")
+        moves.append(level.where("bin <> sequence").select("bin", "sequence", "shift"))
+        opened = level.where("handed and bin = sequence").select("bin", "fill", "origin")
+    if not moves:
+        return placed.select(*columns, F.col("bin").alias("sequence_id"), "offset")
+    # About one move for each group of the lowest level. What a bin moved into may have moved on a later level.
+    final = moves.pop()
+    while moves:
+        later = final.select(F.col("bin").alias("sequence"), F.col("sequence").alias("last"), F.col("shift").alias("more"))
+        earlier = moves.pop().join(later, "sequence", "left").select("bin", F.coalesce("last", "sequence").alias("sequence"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"))
+        final = earlier.unionByName(final)
+    found = placed.join(sized(stored(final, "moves")), "bin", "left")
+    return found.select(*columns, F.coalesce("sequence", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All documents, tokenised, cut and packed: the columns of :func:`token_pieces`, sequence_id and offset.
 
-    Null texts count as empty, repeated rows are packed each for itself, other columns are not
-    looked at, and an empty table gives an empty result.
+    Null texts count as empty, repeated rows are packed each for itself, equal lengths in the order of
+    the rows. A very long text is cut into pieces, the first of which may be shorter. An empty table
+    gives an empty result; columns are found by exact name, and others are not looked at.
     """
     return best_fit_pack(stored(token_pieces(docs, tokenizer_path, end_id, size, id_col, text_col), "pieces"), size)

@@ -77,7 +77,9 @@ def test_plans_find_every_link(rows):
     assert all(sizes)
 
 
-def test_components_of_paths_stars_and_loops(spark):
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_components_of_paths_stars_and_loops(spark, monkeypatch, few):
+    monkeypatch.setattr("loomwright.llm.components.FEW_LINKS", few)
     path = [(i, i + 1) for i in range(50)]
     star = [(100, i) for i in range(101, 140)]
     got = components(spark.createDataFrame([*path, *star, *star, (200, 200), (302, 301)], "a long, b long")).collect()

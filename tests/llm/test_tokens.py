@@ -91,14 +91,29 @@ def test_tree_of_many_groups_packs_well(spark, monkeypatch):
     assert len(bins) <= 1.03 * len(packing.best_fit(lengths, 100))  # groups of 150 pieces, of which bins are merged whole
 
 
-def test_what_is_handed_on_is_bounded_and_nothing_is_lost(spark, monkeypatch):
-    monkeypatch.setattr(packing, "HANDED_ON", 50)
-    pieces = spark.createDataFrame([(i, 0, 0, 60, 0) for i in range(500)], packing.PIECE_FIELDS).repartition(4)
+def test_all_open_bins_that_can_be_needed_go_up(spark, monkeypatch):
+    """Every group but the last ones has open bins of 60 alone, which only what the last ones leave fits into."""
+    monkeypatch.setattr(packing, "LOCAL_ITEMS", 30)
+    sizes = [60] * 500 + [40] * 40
+    pieces = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(sizes)], packing.PIECE_FIELDS).coalesce(2)
     got = packing.best_fit_pack(pieces, 100).collect()
-    assert len(check_sequences(got, 100)) == 500
+    assert sorted(r["doc_id"] for r in got) == list(range(540))
+    assert len(check_sequences(got, 100)) <= 520
     assert packing.best_fit_pack(pieces.limit(0), 100).count() == 0
 
 
+def test_what_is_handed_on_loses_no_place(spark, monkeypatch):
+    draw = random.Random(8)
+    lengths = [draw.choice([51, 52, 60, 75, 30, 20, 7]) for _ in range(2000)]
+    pieces = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(lengths)], packing.PIECE_FIELDS).coalesce(3)
+    monkeypatch.setattr(packing, "LOCAL_ITEMS", 40)
+    monkeypatch.setattr(packing, "FAN_IN", 2)
+    bounded = len(check_sequences(packing.best_fit_pack(pieces, 100).collect(), 100))
+    assert max(collections.Counter(f for f, up in zip([60] * 500, packing._handed_on([60] * 500, 100), strict=True) if up).values()) == 32
+    monkeypatch.setattr(packing, "LEVELS", 10**9)
+    assert len(check_sequences(packing.best_fit_pack(pieces, 100).collect(), 100)) == bounded
+
+
 def test_best_fit_fills_exactly():
     assert [sorted(b) for b in packing.best_fit([6, 4, 7, 3, 10], 10)] == [[4], [2, 3], [0, 1]]
     assert packing.best_fit([], 10) == []
