@@ -83,7 +83,7 @@ def _place(cols: list[Column], kinds: list[T.DataType], i: int) -> Column:
 
 
 class ArraySubtractMinimumTransformer(Operator):
-    """Elements less the least of their innermost array; padValue is passed over and stays."""
+    """Elements less the least of their innermost array, NULL where that overflows; padValue is passed over and stays."""
 
     ACCEPTS = NUMBERS
     PARAMS = {"padValue": None}
@@ -95,9 +95,9 @@ class ArraySubtractMinimumTransformer(Operator):
         def less(x: Column) -> Column:
             if pad is None:
                 least = F.array_min(x)
-                return _bound(least, lambda m: F.transform(x, lambda y: y - m))
+                return _bound(least, lambda m: F.transform(x, lambda y: F.try_subtract(y, m)))
             least = F.array_min(F.filter(x, lambda y: y != F.lit(pad)))
-            return _bound(least, lambda m: F.transform(x, lambda y: F.when(y == F.lit(pad), y).otherwise(y - m)))
+            return _bound(least, lambda m: F.transform(x, lambda y: F.when(y == F.lit(pad), y).otherwise(F.try_subtract(y, m))))
 
         return map_inner(cols, kinds, less)
 

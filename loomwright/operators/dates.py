@@ -13,6 +13,8 @@ from loomwright.stage import REQUIRED, one_of, seconds_or_millis
 from loomwright.types import INTEGERS, TEMPORAL, T, element
 
 DATE, TIME = "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss.SSS"
+#: First and last day of the years 1 to 9999, from 1970-01-01.
+DAYS = (-719_162, 2_932_896)
 
 
 def _as_text(x: Column, kind: T.DataType) -> Column:
@@ -68,7 +70,7 @@ class CurrentUnixTimestampTransformer(_Now):
 
 
 class DateAddTransformer(_Dates):
-    """The date some days on (a constant or a second column), without time; NULL for what is no date."""
+    """The date some days on (a constant or a second column), without time; NULL for what is no date of the years 1 to 9999."""
 
     ACCEPTS, MOST, LEAST = (*_Dates.ACCEPTS, *INTEGERS), 2, 2
     PARAMS = {"numDays": None}
@@ -81,7 +83,8 @@ class DateAddTransformer(_Dates):
         return cols, kinds
 
     def leaf(self, x: Column, days: Column) -> Column:
-        return F.date_add(x.try_cast("date"), days.cast("int")).cast("string")
+        day = F.try_add(F.unix_date(x.try_cast("date")).cast("bigint"), days.cast("bigint"))
+        return F.when(day.between(*DAYS), F.date_from_unix_date(day.try_cast("int")).cast("string"))
 
 
 class DateDiffTransformer(_Dates):
@@ -125,7 +128,10 @@ class DateTimeToUnixTimestampTransformer(_Dates):
 
 
 class UnixTimestampToDateTimeTransformer(_Elementwise):
-    """The date, or date and time, in UTC of a number of seconds or milliseconds; milliseconds are cut off."""
+    """The date, or date and time, in UTC of a number of seconds or milliseconds; milliseconds are cut off.
+
+    NULL for NaN and for moments outside the years 1 to 9999.
+    """
 
     ACCEPTS, MOST = ("double", "bigint"), 1
     PARAMS = {"unit": "s", "includeTime": True}
@@ -133,6 +139,7 @@ class UnixTimestampToDateTimeTransformer(_Elementwise):
 
     def leaf(self, x: Column) -> Column:
         seconds = x if self.p("unit") == "s" else x / F.lit(1000)
+        seconds = F.when((seconds >= 86_400 * DAYS[0]) & (seconds < 86_400 * (DAYS[1] + 1)), seconds)
         whole = F.floor(seconds)
         moment = F.timestamp_millis(whole * 1000 + ((seconds - whole) * 1000.0).cast("int"))
         return _utc(moment, TIME if self.p("includeTime") else DATE)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomwright.nested import map_leaf
 from loomwright.stage import CONDITIONS, REQUIRED, Operator, at_least, number, one_of
-from loomwright.types import FLOATS, INTEGERS, NUMBERS, T, element
+from loomwright.types import FLOATS, INTEGERS, NUMBERS, T, element, name_of
 
 
 class _Elementwise(Operator):
@@ -42,10 +42,15 @@ class _Elementwise(Operator):
 
 
 class AbsoluteValueTransformer(_Elementwise):
+    """NULL for the least integer of a type, whose absolute value the type doesn't have."""
+
     ACCEPTS, MOST = NUMBERS, 1
 
-    def leaf(self, x: Column) -> Column:
-        return F.abs(x)
+    def build(self, cols: list[Column], kinds: list[T.DataType]) -> Column:
+        kind = element(kinds[0])
+        if kind.simpleString() in FLOATS:
+            return map_leaf(cols, kinds, F.abs)
+        return map_leaf(cols, kinds, lambda x: F.when(x < 0, F.try_subtract(F.lit(0).cast(kind), x)).otherwise(x))
 
 
 class ExpTransformer(_Elementwise):
@@ -76,7 +81,7 @@ class LogTransformer(_Elementwise):
 
 
 class ModuloTransformer(_Elementwise):
-    """The remainder of x by y, plus y where it is negative; NULL for y = 0."""
+    """The remainder of x by y, plus y where it is negative; NULL for y = 0, and where that sum overflows."""
 
     ACCEPTS, MOST, LEAST, CONSTANT = NUMBERS, 2, 2, "divisor"
     PARAMS = {"divisor": None}
@@ -84,7 +89,7 @@ class ModuloTransformer(_Elementwise):
 
     def leaf(self, x: Column, y: Column) -> Column:
         rest = F.try_mod(x, y)
-        return F.when(rest >= 0, rest).otherwise(rest + y)
+        return F.when(rest >= 0, rest).otherwise(F.try_add(rest, y))
 
 
 class RoundTransformer(_Elementwise):
@@ -194,17 +199,28 @@ class _If(_Elementwise):
             value = self.p(constant) if constant else None
             if value is None and not left:
                 raise ValueError(f"{type(self).__name__}: {constant} or one more input column must be set")
-            col, kind = (F.lit(value), T.NullType()) if value is not None else left.pop(0)
+            col, kind = (F.lit(value), _type_of(value)) if value is not None else left.pop(0)
             out.append(col)
             types.append(kind)
         if left:
             raise ValueError(f"{type(self).__name__}: {len(left)} input columns too many")
+        # A string next to a number is compared as the number that it spells (NULL if it spells none); as results both are strings.
+        for a, b, to in ((0, 1, "double"), (2, 3, "string")):
+            text = [isinstance(element(types[i]), T.StringType) for i in (a, b)]
+            if text[0] != text[1]:
+                i = (a if text[0] else b) if to == "double" else (b if text[0] else a)
+                if to == "string" or name_of(types[a if i == b else b]) in NUMBERS:
+                    out[i] = map_leaf([out[i]], [types[i]], lambda x, to=to: x.try_cast(to))
         return out, types
 
     def leaf(self, x: Column, value: Column, yes: Column, no: Column) -> Column:
         return F.when(CONDITIONS[self.p("conditionOperator")](x, value), yes).otherwise(no)
 
 
+def _type_of(value: Any) -> T.DataType:
+    return T.BooleanType() if isinstance(value, bool) else T.StringType() if isinstance(value, str) else T.DoubleType()
+
+
 class IfStatementTransformer(_If):
     def setParams(self, **kwargs: Any):  # noqa: N802
         super().setParams(**kwargs)
@@ -263,7 +279,10 @@ class IdentityTransformer(_Elementwise):
 
 
 class ImputeTransformer(_Elementwise):
-    """imputeValue in the place of NULL and of maskValue."""
+    """imputeValue in the place of NULL and of maskValue; in a column of strings both count as strings.
+
+    A ValueError if one of them is no number and the column has numbers.
+    """
 
     MOST = 1
     PARAMS = {"imputeValue": REQUIRED, "maskValue": None}
@@ -271,12 +290,17 @@ class ImputeTransformer(_Elementwise):
     def build(self, cols: list[Column], kinds: list[T.DataType]) -> Column:
         if self.p("imputeValue") is None:
             raise ValueError("imputeValue may not be null")
-        kind = element(kinds[0])
-        value = F.lit(self.p("imputeValue")) if isinstance(kind, T.StringType) else F.lit(self.p("imputeValue")).cast(kind if kind.simpleString() not in INTEGERS else "double")
-        mask = self.p("maskValue")
+        kind, mask = element(kinds[0]), self.p("maskValue")
+        if isinstance(kind, T.StringType):
+            value, mask = F.lit(self.p("imputeValue")).cast("string"), None if mask is None else F.lit(mask).cast("string")
+        elif name_of(kind) in NUMBERS:
+            value = F.lit(float(self.p("imputeValue"))).cast("double" if name_of(kind) in INTEGERS else kind)
+            mask = None if mask is None else F.lit(float(mask))
+        else:
+            value, mask = F.lit(self.p("imputeValue")).cast(kind), None if mask is None else F.lit(mask).cast(kind)
 
         def leaf(x: Column) -> Column:
-            missing = x.isNull() if mask is None else x.isNull() | (x == F.lit(mask))
+            missing = x.isNull() if mask is None else x.isNull() | (x == mask)
             return F.when(missing, value).otherwise(x)
 
         return map_leaf(cols, kinds, leaf)

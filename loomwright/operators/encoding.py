@@ -1,57 +1,81 @@
 """Hashes and vocabularies of strings.
 
 Hashes need a Python function, which works on Arrow batches. Vocabularies stay in the JVM: short
-ones are looked up in a literal array, long ones by a broadcast join with the labels, which are a
-parameter of the stage and so of known size. Only labels outside the vocabulary that are to be
+ones are looked up in a literal array, longer ones by a join with the labels, which are a parameter of
+the stage: by broadcast up to BROADCAST_BYTES, by a shuffle beyond. Only labels outside the vocabulary that are to be
 spread over several places are hashed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable, Iterator, Sequence
+from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.functions.farmhash import hash_text, over_batches
+from loomwright.functions.farmhash import each, hash_texts, over_batches
 from loomwright.nested import map_leaf
 from loomwright.stage import REQUIRED, Operator, at_least, one_of
 from loomwright.types import T, depth
 
+if TYPE_CHECKING:
+    import numpy as np
+
 #: Labels up to which a vocabulary is a literal array.
 LITERAL_LABELS = 100
+#: Bytes of labels (with 32 for each label) up to which they are broadcast.
+BROADCAST_BYTES = 64_000_000
 #: Bins of a hash that is not binned.
 MOST_BINS = 2**31 - 1
 ORDERS = ("frequencyAsc", "frequencyDesc", "alphabeticalAsc", "alphabeticalDesc")
 
 
-def python_column(col: Column, kind: T.DataType, fn: Callable[[Any], Any], leaf: str, inner: bool = False) -> Column:
-    """``fn`` of every element (or, with ``inner``, every innermost array), by a function of Arrow batches.
+def python_column(col: Column, kind: T.DataType, many: Callable[[list[Any]], Sequence[Any]], leaf: str, inner: bool = False) -> Column:
+    """``many`` of the distinct elements of a batch (or, with ``inner``, of all its innermost arrays), by a function of Arrow batches.
 
-    ``leaf`` is the type of its result.
+    ``leaf`` is the type of a result.
     """
     import pyarrow as pa
 
     levels = depth(kind) - inner
     made = "array<" * levels + leaf + ">" * levels
-    run = over_batches(fn, levels) if not inner else over_batches(lambda x: None if x is None else fn(x), levels)
     arrow = _arrow(made)
-
-    def batches(found: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for out in run(found):
-            yield out.cast(arrow) if out.type != arrow else out
-
-    if inner and levels == 0:  # lists can't be dictionary-encoded
+    run = over_batches(many, levels) if not inner else over_batches(lambda found: many([None if x is None else list(x) for x in found]), levels)
+    if inner:  # lists can't be looked up, so their elements are tuples
 
         def batches(found: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in found:
-                yield pa.array([None if x is None else fn(x) for x in batch.to_pylist()], arrow)
+                rows = [each(x, levels, lambda y: None if y is None else tuple(y)) for x in batch.to_pylist()]
+                yield from (x.cast(arrow) for x in run(iter([_Rows(rows)])))
+    else:
+
+        def batches(found: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for out in run(found):
+                yield out.cast(arrow) if out.type != arrow else out
 
     batches.__annotations__ = {"found": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(batches, made)(col)
 
 
+class _Rows(list):
+    """Values in the place of an Arrow array."""
+
+    def to_pylist(self) -> list[Any]:
+        return self
+
+
+def _indices(texts: list[str | None], mask: str | None, bins: int, salts: Sequence[str] = ("",)) -> np.ndarray:
+    """text x salt: 1 plus the hash of the salted text modulo bins - 1; 0 for NULL and the mask."""
+    import numpy as np
+
+    used = [i for i, x in enumerate(texts) if x is not None and x != mask]
+    out = np.zeros((len(texts), len(salts)), dtype=np.int64)
+    hashed = hash_texts([f"{texts[i]}{salt}" for i in used for salt in salts]).reshape(len(used), len(salts))
+    out[used] = (hashed % np.uint64(bins - 1)).astype(np.int64) + 1
+    return out
+
+
 def _arrow(kind: str):
     import pyarrow as pa
 
@@ -72,7 +96,7 @@ class HashIndexTransformer(_Hashed):
 
     def build(self, cols: list[Column], kinds: list[T.DataType]) -> Column:
         bins, mask = self.p("numBins"), self.p("maskValue")
-        return python_column(cols[0], kinds[0], lambda x: 0 if x is None or x == mask else hash_text(x) % (bins - 1) + 1, "int")
+        return python_column(cols[0], kinds[0], lambda texts: _indices(texts, mask, bins)[:, 0].tolist(), "int")
 
 
 class BloomEncodeTransformer(_Hashed):
@@ -91,8 +115,8 @@ class BloomEncodeTransformer(_Hashed):
         return self.p("numBins")
 
     def build(self, cols: list[Column], kinds: list[T.DataType]) -> Column:
-        bins, mask, salts = self.bins(), self.p("maskValue"), range(self.p("numHashFns"))
-        return python_column(cols[0], kinds[0], lambda x: [0 if x is None or x == mask else hash_text(f"{x}{i}") % (bins - 1) + 1 for i in salts], "array<int>")
+        bins, mask, salts = self.bins(), self.p("maskValue"), [str(i) for i in range(self.p("numHashFns"))]
+        return python_column(cols[0], kinds[0], lambda texts: _indices(texts, mask, bins, salts).tolist(), "array<int>")
 
 
 class MinHashIndexTransformer(_Hashed):
@@ -107,14 +131,22 @@ class MinHashIndexTransformer(_Hashed):
     def build(self, cols: list[Column], kinds: list[T.DataType]) -> Column:
         if not depth(kinds[0]):
             raise ValueError("an array of strings is needed")
-        count, mask = self.p("numPermutations"), self.p("maskValue")
-
-        def bits(labels: list[str | None]) -> list[int]:
-            used = {x for x in labels if x is not None}
-            judged = [x for x in used if x != mask] if mask is not None else list(used)
-            if used and not judged:  # masked strings count as the greatest index
-                return [MOST_BINS & 1] * count
-            return [min(hash_text(f"{x}{i}") % (MOST_BINS - 1) + 1 for x in judged or [""]) & 1 for i in range(count)]
+        mask, salts = self.p("maskValue"), [str(i) for i in range(self.p("numPermutations"))]
+
+        def bits(arrays: list[list[str | None] | None]) -> list[list[int] | None]:
+            labels = list(dict.fromkeys(x for a in arrays for x in a or [] if x is not None and x != mask)) + [""]
+            place, made = {x: i for i, x in enumerate(labels)}, []
+            index = _indices(labels, None, MOST_BINS, salts)
+            for a in arrays:
+                used = {x for x in a or [] if x is not None}
+                judged = [place[x] for x in used if x != mask]
+                if a is None:
+                    made.append(None)
+                elif used and not judged:  # masked strings count as the greatest index
+                    made.append([MOST_BINS & 1] * len(salts))
+                else:
+                    made.append((index[judged or [len(labels) - 1]].min(axis=0) & 1).tolist())
+            return made
 
         return python_column(cols[0], kinds[0], bits, "array<int>", inner=True)
 
@@ -149,9 +181,10 @@ class _Vocabulary(Operator):
                 first: dict[str, int] = {}
                 for i, label in enumerate(self.p("labelsArray")):
                     first.setdefault(label, i)
-                rows = df.sparkSession.createDataFrame(list(first.items()), "__lw_label string, __lw_place int")
-                df = df.withColumn("__lw_key", col.cast("string")).join(F.broadcast(rows), F.col("__lw_key") == F.col("__lw_label"), "left")
-                df = df.withColumnRenamed("__lw_place", added).drop("__lw_key", "__lw_label")
+                rows = df.sparkSession.createDataFrame(list(first.items()), f"{added}_label string, {added} int")
+                rows = F.broadcast(rows) if sum(32 + len(x.encode()) for x in first) <= BROADCAST_BYTES else rows
+                df = df.withColumn(f"{added}_key", col.cast("string")).join(rows, F.col(f"{added}_key") == F.col(f"{added}_label"), "left")
+                df = df.drop(f"{added}_key", f"{added}_label")
         return df
 
     def index(self, name: str, col: Column, kind: T.DataType) -> Column:
@@ -159,13 +192,13 @@ class _Vocabulary(Operator):
         if depth(kind) and len(labels) > LITERAL_LABELS:
             places = {x: i for i, x in reversed(list(enumerate(labels)))}
 
-            def place(x: str | None) -> int:
+            def place(x: str | None, spread: int) -> int:
                 if x is None or (mask is not None and x == mask):
                     return 0
-                return places[x] + oov + start if x in places else (hash_text(x) % oov if oov > 1 else 0) + start
+                return places[x] + oov + start if x in places else spread + start
 
-            return python_column(col, kind, place, "int")
-        hashed = python_column(col, kind, lambda x: 0 if x is None else hash_text(x) % oov, "int") if oov > 1 else None
+            return python_column(col, kind, lambda texts: [place(x, n) for x, n in zip(texts, _spread(texts, oov), strict=True)], "int")
+        hashed = python_column(col, kind, lambda texts: _spread(texts, oov), "int") if oov > 1 else None
         added = self._joined(name, kind)
 
         def leaf(x: Column, *other: Column) -> Column:
@@ -187,6 +220,16 @@ class _Vocabulary(Operator):
         return [self.encode(n, c, k) for n, c, k in zip(self.inputs(), cols, kinds, strict=True)]
 
 
+def _spread(texts: list[str | None], places: int) -> list[int]:
+    """The hash of each text modulo the number of places; 0 for NULL, and if there is one place."""
+    import numpy as np
+
+    used = [i for i, x in enumerate(texts) if x is not None] if places > 1 else []
+    out = np.zeros(len(texts), dtype=np.int64)
+    out[used] = (hash_texts([texts[i] for i in used]) % np.uint64(places)).astype(np.int64)
+    return out.tolist()
+
+
 def _int(kind: T.DataType) -> T.DataType:
     return T.ArrayType(_int(kind.elementType)) if isinstance(kind, T.ArrayType) else T.IntegerType()
 

@@ -14,6 +14,10 @@ from loomwright.stage import CONDITIONS, REQUIRED, Learner, Operator, at_least,
 from loomwright.types import FLOATS, NUMBERS, T, depth
 
 
+#: Most labels that a vocabulary has without maxNumLabels: they are a parameter, which the driver holds.
+MOST_LABELS = 5_000_000
+
+
 def _fraction(value: float) -> float:
     if not 0 < value < 1:
         raise ValueError("sampleFraction must lie between 0 and 1")
@@ -182,7 +186,12 @@ def _binary(f: float, n: float) -> tuple[float | None, float | None]:
 
 
 class ImputeEstimator(_Numeric):
-    """Mean or exact median of all elements that are neither NULL nor maskValue."""
+    """Mean or exact median of all elements that are neither NULL nor maskValue.
+
+    The median is closed in on: a sketch of bounded size gives limits around it, what lies below them
+    is counted, and what lies between is either little enough to be counted value by value or closed
+    in on again. No task holds all values.
+    """
 
     MODEL = elementwise.ImputeTransformer
     ACCEPTS = NUMBERS
@@ -197,7 +206,32 @@ class ImputeEstimator(_Numeric):
                 col = F.flatten(col)
             name = f"__lw_{self.uid}"
             df, col = df.withColumn(name, F.explode_outer(col)), F.col(name)
-        return df, {"value": (F.avg if self.p("imputeMethod") == "mean" else F.median)(self.unmasked(col))}
+        used = self.unmasked(col)
+        if self.p("imputeMethod") == "mean":
+            return df, {"value": F.avg(used)}
+        name = f"__lw_value_{self.uid}"
+        return df.withColumn(name, used.cast("double")), {"value": F.percentile_approx(F.col(name), F.array(*map(F.lit, AROUND)), F.lit(ACCURACY)), "n": F.count(name)}
+
+    def refine(self, df: DataFrame, found: dict[str, Any]) -> dict[str, Any]:
+        """The exact median, from limits around it."""
+        if self.p("imputeMethod") == "mean" or not found["n"]:
+            return found
+        x, n, below = F.col(f"__lw_value_{self.uid}"), found["n"], 0
+        wanted, limits, rows = [(n - 1) // 2, n // 2], found["value"], df
+        while True:
+            low, high = limits[0], limits[-1]
+            inside = rows.where(x.between(low, high))
+            row = rows.agg(F.sum(F.when(x < low, 1).otherwise(0)).alias("less"), F.sum(F.when(x.between(low, high), 1).otherwise(0)).alias("in")).first()
+            if not below + row["less"] <= wanted[0] <= wanted[1] < below + row["less"] + row["in"]:
+                # The sketch was off: everything on the side that was missed counts again.
+                inside, row = rows, {"less": 0, "in": None}
+            below, rows = below + row["less"], inside
+            counts = rows.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+            few = counts.orderBy("v").limit(MOST_VALUES + 1).collect()
+            if len(few) <= MOST_VALUES:
+                return {"value": sum(_ranked(few, k - below) for k in wanted) / 2}
+            share = [(wanted[0] - below) / max(rows.where(x.isNotNull()).count(), 1)]
+            limits = rows.agg(F.percentile_approx(x, F.array(*[F.lit(min(max(share[0] + d, 0.0), 1.0)) for d in (-MARGIN, MARGIN)]), F.lit(ACCURACY)).alias("l")).first()["l"]
 
     def learn(self, found: dict[str, Any], width: int) -> Operator:
         if found["value"] is None:
@@ -205,6 +239,22 @@ class ImputeEstimator(_Numeric):
         return self.model(imputeValue=found["value"])
 
 
+#: Accuracy of the sketch of percentiles, the share of rows on either side of the median that it closes in to, and the shares asked for.
+ACCURACY, MARGIN = 10_000, 0.001
+AROUND = (0.5 - MARGIN, 0.5 + MARGIN)
+#: Distinct values that are counted one by one.
+MOST_VALUES = 100_000
+
+
+def _ranked(counts: list[Any], place: int) -> float:
+    """The value at a place (from 0) of values in order, each with its count."""
+    for r in counts:
+        place -= r["c"]
+        if place < 0:
+            return r["v"]
+    raise AssertionError("the place lies beyond the values")
+
+
 class _Labels(Learner):
     """Learns the labels, in an order of which ties are broken by the label; NULL and the mask token are none."""
 
@@ -228,9 +278,11 @@ class _Labels(Learner):
         order = self.p("stringOrderType")
         first = F.col("n" if order.startswith("frequency") else "label")
         counts = counts.orderBy(first.asc() if order.endswith("Asc") else first.desc(), "label")
-        if self.p("maxNumLabels") is not None:
-            counts = counts.limit(self.p("maxNumLabels"))
-        return self.model(labelsArray=[r["label"] for r in counts.select("label").collect()])
+        most = self.p("maxNumLabels")
+        found = [r["label"] for r in counts.select("label").limit(MOST_LABELS + 1 if most is None else most).collect()]
+        if most is None and len(found) > MOST_LABELS:
+            raise ValueError(f"there are more than {MOST_LABELS} labels; maxNumLabels must be set")
+        return self.model(labelsArray=found)
 
 
 class StringIndexEstimator(_Labels):

@@ -118,7 +118,9 @@ class StringMapTransformer(_String):
 class StringReplaceTransformer(_String):
     """All matches of a string, or of a regular expression, replaced.
 
-    Match and replacement are constants, if those are set, or else the next input columns.
+    Match and replacement are constants, if those are set, or else the next input columns. An empty
+    string matches everywhere between characters; an empty regular expression matches an empty string. Only a constant replacement
+    of a regular expression may name groups ($1), which must be there; others are taken as they are.
     """
 
     MOST, LEAST = 3, 3
@@ -135,12 +137,27 @@ class StringReplaceTransformer(_String):
             raise ValueError("too many input columns")
         return [c for c, _ in out], [k for _, k in out]
 
+    def _constant_groups(self) -> bool:
+        """Whether the replacement is a constant that may name groups; a ValueError if it names one that isn't there."""
+        new, pattern = self.p("stringReplaceConstant"), self.p("stringMatchConstant")
+        if new is None or pattern is None:
+            return False
+        named = re.findall(r"\\.|\$\{\w+\}|\$\d|[\\$]", new)
+        if any(n in ("$", "\\") for n in named) or any(n[1:].isdigit() and n[0] == "$" and int(n[1:]) > _groups(pattern) for n in named):
+            raise ValueError(f"stringReplaceConstant {new!r} names a group that the pattern doesn't have")
+        return True
+
     def leaf(self, x: Column, match: Column, new: Column) -> Column:
+        quoted = F.regexp_replace(new, r"[\\$]", r"\\$0")
         if self.p("regex"):
-            pattern = F.when(match == "", F.lit("^$")).otherwise(match)
-        else:
-            pattern = F.regexp_replace(match, "[^A-Za-z0-9]", r"\\$0")
-        return F.regexp_replace(x, pattern, new)
+            return F.when(match == "", F.when(x == "", new).otherwise(x)).otherwise(F.regexp_replace(x, match, new if self._constant_groups() else quoted))
+        return F.when(match == "", F.regexp_replace(x, F.lit(""), quoted)).otherwise(F.replace(x, match, new))
+
+
+def _groups(pattern: str) -> int:
+    """Groups of a regular expression: opening brackets that are neither quoted, nor in a class, nor followed by a question mark."""
+    plain = re.sub(r"\\.|\[\^?\]?[^\]]*\]", "", pattern)
+    return len(re.findall(r"\((?!\?(?!<[A-Za-z]))", plain))
 
 
 class StringToStringListTransformer(_String):

@@ -43,6 +43,8 @@ def fit_together(df: DataFrame, learners: list[Learner]) -> list[Operator]:
         found = rows.agg(*[c.alias(k) for k, c in wanted.items()]).first().asDict()
         for i in group:
             learned[i] = {k.removeprefix(f"{i}_"): v for k, v in found.items() if k.startswith(f"{i}_")}
+            if hasattr(learners[i], "refine"):
+                learned[i] = learners[i].refine(rows, learned[i])
     out: dict[int, Operator] = {i: learners[i].learn(values, widths[learners[i].uid]) for i, values in learned.items()}
     if words:
         out |= _vocabularies(df, {i: learners[i] for i in words})

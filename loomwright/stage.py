@@ -189,7 +189,7 @@ class Operator(Stage, Transformer):
 
 def apply_together(df: DataFrame, stages: Iterable[Operator]) -> DataFrame:
     """Applies stages that don't read each other's outputs, in one projection."""
-    stages = list(stages)
+    stages, given = list(stages), set(df.columns)
     for stage in stages:
         df = stage.before(df)
     schema = df.schema
@@ -209,7 +209,7 @@ def apply_together(df: DataFrame, stages: Iterable[Operator]) -> DataFrame:
             raise
         made |= found
     df = df.withColumns(made)
-    own = [n for n in df.columns if n.startswith("__lw_")]
+    own = [n for n in df.columns if n.startswith("__lw_") and n not in given and n not in made]
     return df.drop(*own) if own else df
 
 

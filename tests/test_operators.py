@@ -244,3 +244,86 @@ def test_clashing_outputs_and_parameters(spark):
         op.LogTransformer(beta=1)
     with pytest.raises(ValueError, match="outputCol"):
         op.LogTransformer(inputCol="a").transform(df)
+
+
+LIMITS = {"tinyint": 7, "smallint": 15, "int": 31, "bigint": 63}
+
+
+@pytest.mark.parametrize("kind", LIMITS)
+def test_least_and_greatest_integers_give_null_and_no_error(spark, kind):
+    least, most = -(1 << LIMITS[kind]), (1 << LIMITS[kind]) - 1
+    values = [least, -1, 0, most, None]
+    assert one(spark, op.AbsoluteValueTransformer, values, kind) == [None, 1, 0, most, None]
+    schema = f"i int, a {kind}, b {kind}"
+    names = {"inputCols": ["a", "b"], "outputCol": "x"}
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate([(-5, least), (most, least), (least, -1), (5, 0), (-5, 3)])], schema)
+    assert [r["x"] for r in op.ModuloTransformer(**names).transform(df).orderBy("i").collect()][2:] == [0, None, 1]
+    for stage in (op.MultiplyTransformer, op.SubtractTransformer, op.SumTransformer, op.MaxTransformer, op.MinTransformer, op.MeanTransformer):
+        assert len(stage(**names).transform(df).collect()) == 5
+    got = one(spark, op.ArraySubtractMinimumTransformer, [[least, most], [most, most], [0, 5], None], f"array<{kind}>")
+    assert got == [[0, None], [0, 0], [0, 5], None]
+
+
+def test_days_and_seconds_beyond_the_calendar_give_null(spark):
+    df = spark.createDataFrame([(i, "2020-02-28", n) for i, n in enumerate([1, 1 << 40, (1 << 31) - 1, -(1 << 63), (1 << 63) - 1, None, -3_000_000])], "i int, a string, n bigint")
+    got = op.DateAddTransformer(inputCols=["a", "n"], outputCol="x").transform(df).orderBy("i").collect()
+    assert [r["x"] for r in got] == ["2020-02-29", *[None] * 6]
+    assert one(spark, op.DateAddTransformer, ["9999-12-31", "0001-01-01", "no date"], "string", numDays=1) == [None, "0001-01-02", None]
+    for kind, values in (("bigint", [0, 1 << 62, -(1 << 63), 253402300799]), ("double", [0.0, 1e18, float("nan"), 253402300799.0, float("-inf")])):
+        got = one(spark, op.UnixTimestampToDateTimeTransformer, values, kind, includeTime=False)
+        assert [got[0], got[3]] == ["1970-01-01", "9999-12-31"] and [v for i, v in enumerate(got) if i not in (0, 3)] == [None] * (len(values) - 2)
+
+
+def test_texts_beside_numbers_neither_fail_nor_change_the_column(spark):
+    values = ["abc", "2", "0.5", None]
+    assert one(spark, op.IfStatementTransformer, values, "string", conditionOperator="gt", valueToCompare=1.0, resultIfTrue="y", resultIfFalse="n") == ["n", "y", "n", "n"]
+    assert one(spark, op.IfStatementTransformer, [1, 2], "int", conditionOperator="eq", valueToCompare="abc", resultIfTrue="y", resultIfFalse="n") == ["n", "n"]
+    df = spark.createDataFrame([(0, 1, "abc"), (1, 5, "z")], "i int, a int, b string")
+    stage = op.IfStatementTransformer(inputCols=["a", "b"], outputCol="x", conditionOperator="gt", valueToCompare=3, resultIfTrue=7)
+    assert [r["x"] for r in stage.transform(df).orderBy("i").collect()] == ["abc", "7"]
+    assert one(spark, op.ImputeTransformer, values, "string", imputeValue=3, maskValue=2) == ["abc", "3", "0.5", "3"]
+    assert one(spark, op.ImputeTransformer, [1.5, None, 0.0], "double", imputeValue="2.5", maskValue="0") == [1.5, 2.5, 2.5]
+    with pytest.raises(ValueError, match="abc"):
+        one(spark, op.ImputeTransformer, [1.5], "double", imputeValue="abc")
+
+
+def test_replacements_are_taken_as_they_are(spark):
+    cls = op.StringReplaceTransformer
+    assert one(spark, cls, ["a.b.c", "", None], "string", stringMatchConstant=".", stringReplaceConstant=r"$5\x") == [r"a$5\xb$5\xc", "", None]
+    assert one(spark, cls, ["ab", ""], "string", stringMatchConstant="", stringReplaceConstant="$") == ["$a$b$", "$"]
+    df = spark.createDataFrame([(0, "abc", "(b)", r"$1$9\ "), (1, "abc", "", "x"), (2, "", "", "x")], "i int, a string, b string, c string")
+    got = cls(inputCols=["a", "b", "c"], outputCol="x", regex=True).transform(df).orderBy("i").collect()
+    assert [r["x"] for r in got] == [r"a$1$9\ c", "abc", "x"]
+    assert one(spark, cls, ["abc"], "string", stringMatchConstant="(b)([c(])", stringReplaceConstant=r"$2$1\$", regex=True) == ["acb$"]
+    for new in ("$", "$2", "a\\"):
+        with pytest.raises(ValueError, match="group"):
+            one(spark, cls, ["abc"], "string", stringMatchConstant=r"(b)\(", stringReplaceConstant=new, regex=True)
+
+
+def test_columns_of_the_users_with_names_of_helpers(spark, monkeypatch):
+    monkeypatch.setattr("loomwright.operators.encoding.LITERAL_LABELS", 1)
+    df = spark.createDataFrame([("b", 1, "k"), ("z", 2, "k")], "a string, __lw_place int, __lw_label string")
+    for most in (64_000_000, 0):
+        monkeypatch.setattr("loomwright.operators.encoding.BROADCAST_BYTES", most)
+        got = op.StringIndexTransformer(inputCol="a", outputCol="__lw_x", labelsArray=["a", "b"]).transform(df).orderBy("a")
+        assert got.columns == ["a", "__lw_place", "__lw_label", "__lw_x"] and [r["__lw_x"] for r in got.collect()] == [2, 0]
+
+
+def test_vocabularies_have_a_bound(spark, monkeypatch):
+    monkeypatch.setattr("loomwright.operators.estimators.MOST_LABELS", 2)
+    df = spark.createDataFrame([("a",), ("b",), ("c",)], "a string")
+    with pytest.raises(ValueError, match="maxNumLabels"):
+        op.StringIndexEstimator(inputCol="a", outputCol="x").fit(df)
+    assert op.StringIndexEstimator(inputCol="a", outputCol="x", maxNumLabels=3).fit(df).getLabelsArray() == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("values", [[1.0, 2.0], [3.0], [5.0, 5.0, 5.0, 1.0], [float(i * i % 997) for i in range(3000)], [0.0] * 1999 + [float(i) for i in range(2001)]])
+def test_medians_are_exact_however_they_are_closed_in_on(spark, monkeypatch, values):
+    import statistics
+
+    monkeypatch.setattr("loomwright.operators.estimators.MOST_VALUES", 20)
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (-1.0,)], "a double").repartition(5)
+    model = op.ImputeEstimator(inputCol="a", outputCol="x", imputeMethod="median", maskValue=-1.0).fit(df)
+    assert model.getImputeValue() == statistics.median(values)
+    with pytest.raises(ValueError, match="no elements"):
+        op.ImputeEstimator(inputCol="a", outputCol="x", imputeMethod="median").fit(df.where("a is null"))
