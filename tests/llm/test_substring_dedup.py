@@ -43,7 +43,7 @@ def corpus(seed, window, n=60):
     return rows
 
 
-@pytest.mark.parametrize("window", [7, 10])
+@pytest.mark.parametrize("window", [7, 10, 24, 50])
 def test_against_brute_force(spark, window):
     rows = corpus(window, window)
     rows += [(100, None), (101, ""), (3, rows[3][1]), (3, rows[5][1]), (None, rows[7][1]), (None, rows[8][1]), (102, "a " * 40), (103, "a " * 30), (-5, "a " * 12)]
@@ -72,3 +72,36 @@ def test_equal_windows_have_equal_anchors():
     for p in range(100, 190 - 19):
         assert one[p][0] == two[p - 100 + 37][0]
     assert (sd.window_hashes(x, 20, sd.BASES[1])[100:171] == sd.window_hashes(y, 20, sd.BASES[1])[37:108]).all()
+
+
+@pytest.mark.parametrize("window,lengths", [(50, [13, 25, 50]), (1, [1]), (5, [5]), (20, [20]), (24, [12, 24]), (100, [13, 25, 50, 100])])
+def test_lengths_double(window, lengths):
+    assert sd.level_lengths(window) == lengths
+
+
+def test_anchors_of_wanted_windows_alone():
+    x = np.random.default_rng(1).integers(0, 2**63, 300).astype(np.uint64)
+    wanted = np.zeros(251, dtype=bool)
+    wanted[[3, 4, 5, 100, 250]] = True
+    every = {p: int(h) for h, lo, hi in zip(*sd.anchors(x, 50, 25), strict=True) for p in range(lo, hi + 1)}
+    some = {p: int(h) for h, lo, hi in zip(*sd.anchors(x, 50, 25, wanted), strict=True) for p in range(lo, hi + 1)}
+    assert some == {p: every[p] for p in (3, 4, 5, 100, 250)}
+
+
+def test_greatest_id_is_an_id_like_any_other(spark):
+    top = (1 << 63) - 1
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(top, "x " + text), (None, text + " y"), (0, "a b"), (None, text + " y")]
+    got = {(r["doc_id"], r["n_words"], r["n_removed"]) for r in sd.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 24).collect()}
+    assert got == {(top, 31, 0), (None, 31, 30), (0, 2, 0)}
+    rows = [(None, text + " y"), (None, "z " + text)]
+    assert all(r["n_removed"] == 0 for r in sd.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 24).collect())
+
+
+def test_a_very_long_text_and_a_frequent_passage(spark):
+    line = " ".join(f"c{i}" for i in range(60))
+    long = " ".join(f"u{i}" for i in range(150_000))
+    rows = [(i, f"{i} {line} {i}") for i in range(300)] + [(1000, long), (1001, "start " + long)]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in sd.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 50).collect()}
+    assert got[0] == (62, 0) and all(got[i] == (62, 60) for i in range(1, 300))
+    assert got[1000] == (150_000, 0) and got[1001] == (150_001, 150_000)
