@@ -75,6 +75,21 @@ def test_stages_return_the_columns_of_documents(spark, folder):
     assert [n for n, _ in cp.STAGES] == ["language", "exact_dedup", "near_dedup", "pii", "packing"]
 
 
+def test_stages_stand_very_long_texts_and_clashing_columns(spark, folder):
+    long = " ".join(f"the thing {i} over" for i in range(40_000)) + " mail a@b.co"
+    schema = SCHEMA.replace("source string", "source string, TEXT string, node long, Th int")
+    rows = [(1, long, "en", "s", "x", 1, 2, 3), (2, long + " end", "en", "s", "y", 4, 5, 6), (3, "a short thing", "en", "s", "z", 7, 8, 9)]
+    docs = spark.createDataFrame(rows, schema).toDF("doc_id", "text", "lang", "source", "Text", "node", "digest", "n_chars")
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        got = {r["doc_id"]: r for r in out.collect()}
+        assert sorted(got) == ([1, 3] if name == "near_dedup" else [1, 2, 3]) and got[3]["text"] == "a short thing" and (got[3]["node"], got[3]["digest"]) == (7, 8)
+        assert got[1]["text"] == (long.replace("a@b.co", "[EMAIL]") if name == "pii" else long)
+    packed = cp.STAGES[-1][1](spark, docs, folder).collect()
+    assert {r["doc_id"] for r in packed} == {1, 2, 3} and max(r["length"] for r in packed) == 1024
+
+
 def test_stages_stand_nulls_and_repeated_rows(spark, folder):
     odd = spark.createDataFrame([(None, None, None, None, None)] * 3 + [(1, "same", None, None, None)] * 3 + [(None, "x y z", "en", "s", 5)], SCHEMA)
     for _, stage in cp.STAGES:
