@@ -45,7 +45,7 @@ def window_hashes(x: np.ndarray, length: int, base: int) -> np.ndarray:
     return (total[length:] - total[:-length]) * back[: n - length + 1]
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=2)
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     import numpy as np
 
