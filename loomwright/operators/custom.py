@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import base64
 import importlib
 from collections.abc import Callable
 from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,15 +24,33 @@ def load_function(path: str) -> Callable[..., Any]:
     return found
 
 
+#: Key of a pickled function among saved parameters.
+PICKLED = "pickled"
+
+
+def _restored(given: Any) -> Any:
+    """A function of its saved form; anything else as it is."""
+    return cloudpickle.loads(base64.b64decode(given[PICKLED])) if isinstance(given, dict) and PICKLED in given else given
+
+
 class LambdaFunctionTransformer(Operator):
     """A function of one pandas Series for each input; it returns one Series, or one for each output.
 
-    ``function`` is the function, or ``module:name``; only the latter can be saved.
-    ``functionReturnTypes`` are the outputs' Spark types, as DDL.
+    ``function`` is the function, or ``module:name``. A function is saved pickled, with what it refers
+    to, and unpickling runs code: load such pipelines only from where you trust. ``functionReturnTypes``
+    are the outputs' Spark types, as DDL.
     """
 
     USES_UDF = True
     PARAMS = {"function": REQUIRED, "functionReturnTypes": REQUIRED}
+    CHECKS = {"function": _restored}
+
+    def spec(self) -> dict[str, Any]:
+        found = super().spec()
+        given = found["params"].get("function")
+        if callable(given):
+            found["params"]["function"] = {PICKLED: base64.b64encode(cloudpickle.dumps(given)).decode()}
+        return found
 
     def build(self, cols: list[Column], kinds: list[T.DataType]) -> Column | list[Column]:
         import pandas as pd

@@ -161,6 +161,7 @@ def test_places(spark):
     assert two(spark, op.BearingAngleTransformer, [(0.0, 0.0, 0.0, 10.0), (0.0, 0.0, -5.0, 0.0)], schema) == pytest.approx([90.0, 180.0])
 
 
+# What the published hash and the definition of these operators give for these strings.
 def test_hashes(spark):
     assert one(spark, op.HashIndexTransformer, ["a", "b", None, "m"], "string", numBins=100, maskValue="m") == [31, 20, 0, 0]
     assert one(spark, op.HashIndexTransformer, [["c", "a"], None], "array<string>", numBins=5000) == [[4206, 3350], None]

@@ -125,7 +125,16 @@ def test_saved_pipelines(spark, df, tmp_path):
     with pytest.raises(ValueError):
         FeaturePipeline.load(f"file://{tmp_path}/model")
     with pytest.raises(ValueError, match="plain"):
-        FeaturePipeline([op.LambdaFunctionTransformer(inputCol="col1", outputCol="x", function=lambda x: x, functionReturnTypes=["double"])]).save(f"file://{tmp_path}/no")
+        FeaturePipeline([op.StringArrayConstantTransformer(inputCol="col4", outputCol="x", constantStringArray=[object()])]).save(f"file://{tmp_path}/no")
+
+
+def test_saved_functions(spark, df, tmp_path):
+    times = 3
+    pipeline = FeaturePipeline([op.LambdaFunctionTransformer(inputCol="col1", outputCol="x", function=lambda x: x * times, functionReturnTypes=["double"])])
+    pipeline.save(f"file://{tmp_path}/function")
+    times = 5
+    again = FeaturePipeline.load(f"file://{tmp_path}/function").fit(df).transform(df)
+    assert [r["x"] for r in again.collect()] == [3 * r[0] for r in ROWS]
 
 
 def test_with_the_ml_pipeline_and_grids(df):
