@@ -87,8 +87,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when their bytes are; null counts as empty, and empty texts are equal. Of equal
     texts one row stays: that with the smallest id (``keep="largest"``: the largest), null ids last.
-    Rows that repeat an id and a text count as copies, of which one stays. An empty table gives an
-    empty result. Other columns are not looked at.
+    Rows that repeat an id and a text count as copies, of which one stays. Very long texts are compared
+    whole, in the sort's memory, which spills. An empty table gives an empty result; columns are found by
+    exact name, and others, whatever their names, are not looked at.
     """
     base = pick(docs, id=id_col, text=text_col).select("id", F.coalesce("text", F.lit("")).alias("body"))
     return _judged(base, _largest(keep)).select(
@@ -98,7 +99,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows, with all columns, that :func:`exact_dedup` keeps."""
+    """The rows, with all columns, that :func:`exact_dedup` keeps.
+
+    Null and empty texts are equal, and the row that stays keeps its own. Of rows equal in text and id any
+    one stays, whatever its other columns hold. Very long texts are compared whole. An empty table stays
+    empty, and columns with clashing names come back as they were.
+    """
     names, text = docs.columns, docs.columns.index(text_col)
     plain = docs.toDF(*[f"__c{i}" for i in range(len(names))])
     rest = [f"__c{i}" for i in range(len(names)) if i != text]

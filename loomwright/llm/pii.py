@@ -237,14 +237,13 @@ def listed(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def _replaced(text: Column, spans: Column, mark: Callable[[Column, Column], Column]) -> Column:
+def _replaced(text: Column, found: Column, mark: Callable[[Column, Column], Column]) -> Column:
     """The text with ``mark(inside, span)`` in the place of each span; of spans that overlap the first one's.
 
-    ``spans`` are sorted by start. They are worked on in about as many blocks as a block has spans:
+    ``found`` are the spans, sorted by start. They are worked on in about as many blocks as a block has spans:
     every block is cut out of the text once, and its spans out of the block, so the text is not gone
     through from its start for every span.
     """
-    size = F.ceil(F.sqrt(F.size(spans))).cast("int")
     reach = lambda block: F.array_max(F.transform(block, lambda s: s["end"]))
 
     def one(block: Column, begin: Column) -> Column:
@@ -266,8 +265,12 @@ def _replaced(text: Column, spans: Column, mark: Callable[[Column, Column], Colu
         together = lambda at: F.concat(F.array_join(F.zip_with(blocks, F.slice(at, F.lit(1), F.size(blocks)), one), ""), F.substring(text, F.element_at(at, -1) + 1, F.length(text)))
         return _let(begins, together)
 
-    numbers = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / size).cast("int"))
-    return F.when(F.size(spans) == 0, text).otherwise(_let(F.transform(numbers, lambda k: F.slice(spans, k * size + 1, size)), joined))
+    def whole(spans: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(spans))).cast("int")
+        numbers = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / size).cast("int"))
+        return F.when(F.size(spans) == 0, text).otherwise(_let(F.transform(numbers, lambda k: F.slice(spans, k * size + 1, size)), joined))
+
+    return _let(found, whole)
 
 
 def redact(text: Column, spans: Column) -> Column:

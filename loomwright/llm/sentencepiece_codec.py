@@ -95,8 +95,9 @@ def sentencepiece_encode(docs: DataFrame, model_path: str, id_col: str = "doc_id
     """doc_id, ids (as the library's ``encode``) and decoded (as its ``decode(ids)``) of each text.
 
     ``model_path`` must be readable on every executor. A null text counts as empty: no ids, empty
-    decoded text. Rows are independent: repeated rows repeat their result, an empty table gives an
-    empty result, and other columns are not looked at. Characters outside the vocabulary become
+    decoded text. Rows are independent: repeated rows repeat their result, a null id keeps it, a very long
+    text is held whole with its ids, an empty table gives an empty result; columns are found by exact
+    name, and others, whatever their names, are not looked at. Characters outside the vocabulary become
     bytes where the model has them. A model whose pieces cross markers, or that normalises text, is
     refused with a ValueError.
     """

@@ -37,7 +37,7 @@ if TYPE_CHECKING:
 #: Most rows of a block of candidates and of queries that meet, and queries that a task takes at a time.
 CANDIDATES, QUERIES, TILE = 8_192, 4_096, 128
 #: Numbers of segments, coarse to fine.
-RESOLUTIONS = (4, 16)
+RESOLUTIONS = (4, 16, 32)
 #: Share of a tile's pairs up to which survivors are worked out one by one.
 FEW = 0.1
 #: Vectors from which axes and pivots are taken (any give the same results), most pivots, widest vectors whose axes are turned.

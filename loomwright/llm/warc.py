@@ -49,7 +49,10 @@ def write_warc(pages: DataFrame, path: str, key_col: str = "page_id", url_col: s
     The payload is the text in UTF-8; null counts as empty. Of equal payloads of at least
     ``least_bytes`` bytes, the pages with the smallest key (null keys last) are responses, and the
     others revisit that key. Smaller ones are all responses. A null key or url is left out of the
-    record. White space and control characters of a url become %XX. Repeated rows are written each.
+    record. White space and control characters of a url become %XX. Repeated rows are written each; of
+    rows that tie for the smallest key all are responses. A very long payload is one record, held whole
+    by one task. An empty table gives archives without a record; columns are found by exact name, and
+    others, whatever their names, are not looked at.
     """
     rows = pick(pages, key=key_col, url=url_col, html=html_col).select("key", "url", F.coalesce("html", F.lit("")).alias("body"))
     rows = rows.withColumns({"sha": F.sha1(F.col("body").cast("binary")), "n": F.octet_length("body").cast("long")})
@@ -231,8 +234,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     Archives are uncompressed and may be split anywhere. Payload length and digest are computed from
     the bytes read; those of a revisit are what its headers say. digest_ok tells whether the digest
-    equals the header's (null without one). Records without a page key have a null page_id. A file
-    that doesn't start with a record has none; a chain that breaks ends there.
+    equals the header's (null without one). Records without a page key have a null page_id, and repeated
+    records are read each. A file that doesn't start with a record, or an empty one, has none; a chain
+    that breaks ends there. A very long payload is put together in one task if it holds the magic line.
     """
     lines = spark.read.option("lineSep", MAGIC).text(path)
     split = lines.select("_metadata.file_path", "_metadata.file_block_start", F.col("value").cast("binary"))
@@ -269,7 +273,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def warc_round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Writes all pages to new archives in the shared folder and reads them back; see write_warc and read_warc."""
+    """Writes all pages to new archives in the shared folder and reads them back.
+
+    Nulls, empty and very long payloads, ties, repeated rows, an empty table and columns with clashing
+    names as in :func:`write_warc` and :func:`read_warc`.
+    """
     path = shared_path(pages.sparkSession, "warc")
     write_warc(pages, path, least_bytes=least_bytes)
     return read_warc(pages.sparkSession, path)
