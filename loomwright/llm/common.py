@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,22 @@ def values(column: Any) -> Iterator[Any]:
     return (x.as_py() for x in column)
 
 
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; before each one, memory that this worker has freed goes back to the system.
+
+    Workers are used again by later stages, and would else keep the most that any stage has needed.
+    """
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    for b in batches:
+        pa.default_memory_pool().release_unused()
+        if trim:
+            trim(0)
+        yield b
+        del b
+    if trim:
+        trim(0)
+
+
 #: Bytes for each core below which a table is dealt out again.
 SMALL = 8_000_000
 

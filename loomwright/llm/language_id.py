@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import pick, shuffle_partitions, sized, stored, values
+from loomwright.llm.common import lean, pick, shuffle_partitions, sized, stored, values
 
 if TYPE_CHECKING:
     import numpy as np
@@ -253,7 +253,7 @@ def predict_language(docs: DataFrame, model: LanguageModel | None, id_col: str =
 def _known(batches: Iterator[pa.RecordBatch], shared, text: str) -> Iterator[pa.RecordBatch]:
     import pyarrow.compute as pc
 
-    for b in batches:
+    for b in lean(batches):
         keys = pa.array(range(b.num_rows), pa.int64())
         told = _predict(iter([pa.RecordBatch.from_arrays([keys, b.column(b.schema.get_field_index(text))], names=["k", "t"])]), shared)
         langs = [x.column(1) for x in told]

@@ -135,3 +135,44 @@ def test_many_links_are_joined_in_rounds(spark, monkeypatch):
     rows = edited_copies(4)
     got = near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 5, 0.8).collect()
     assert sorted(map(tuple, got), key=str) == plain_components(rows, 0.8)
+
+
+def joined_rows(spark, seen):
+    """Rows that the joins of all queries but the first ``seen`` made, and the number of queries."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    queries, out = store.executionsList(), 0
+    for i in range(seen, queries.size()):
+        at = queries.apply(i).executionId()
+        nodes, counted = store.planGraph(at).allNodes(), store.executionMetrics(at)
+        for node in map(nodes.apply, range(nodes.size())):
+            for metric in map(node.metrics().apply, range(node.metrics().size())):
+                if "Join" in node.name() and metric.name() == "number of output rows" and (value := counted.get(metric.accumulatorId())).isDefined():
+                    out = max(out, int(value.get().replace(",", "")))
+    return out, queries.size()
+
+
+def test_texts_that_share_a_passage_are_not_paired(spark):
+    """Each alone could have a similar text, as 36 of its 42 shingles are shared; no two are similar (36 of 48)."""
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(i, f"{passage} " + " ".join(f"x{i}y{k}" for k in range(6))) for i in range(400)]
+    rows.append((1000, rows[7][1].replace("y5", "z5")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = joined_rows(spark, 1 << 30)[1]
+    assert sorted(map(tuple, near_copies(docs, 5, 0.8).collect())) == [(7, 7), (1000, 7)]
+    assert joined_rows(spark, seen)[0] < 401 * 400 // 4
+
+
+@pytest.mark.parametrize("similarity", [0.55, 0.8])
+def test_similar_sets_of_other_groups_meet(spark, similarity):
+    """Sets that are edits of a few, some in groups that are known already: each similar pair of two groups comes out."""
+    from loomwright.llm.set_similarity import _meetable, _meetings, _postings
+
+    draw, sets = random.Random(6), []
+    for _ in range(12):
+        first = draw.sample(range(400), draw.choice([1, 2, 5, 20, 60]))
+        sets += [frozenset(first) - frozenset(draw.sample(first, draw.randint(0, len(first) // 6))) | frozenset(draw.sample(range(400), draw.randint(0, len(first) // 6))) for _ in range(12)]
+    rows = [(i, i - i % draw.choice([1, 1, 3]), sorted(s)) for i, s in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "a long, ga long, shingles array<long>")
+    got = {tuple(r) for r in _meetings(_meetable(_postings(frame, similarity), similarity), similarity).collect()}
+    want = {(a, b) for b, gb, y in rows for a, ga, x in rows[:b] if ga != gb and len({*x} & {*y}) >= similarity * len({*x} | {*y})}
+    assert want and want <= got and all(rows[a][1] != rows[b][1] for a, b in got)
