@@ -8,6 +8,7 @@ from typing import Any, ClassVar
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.functions.means import PARTS, USUAL, exponent_of, mean_of, sums_of_parts
 from loomwright.nested import map_leaf
 from loomwright.operators import elementwise, encoding, scaling
 from loomwright.stage import CONDITIONS, REQUIRED, Learner, Operator, at_least, number, one_of
@@ -16,6 +17,8 @@ from loomwright.types import FLOATS, NUMBERS, T, depth
 
 #: Most labels that a vocabulary has without maxNumLabels: they are a parameter, which the driver holds.
 MOST_LABELS = 5_000_000
+#: Most places of which parts for exact means are added up with everything else.
+MOST_PLACES = 8
 
 
 def _fraction(value: float) -> float:
@@ -41,7 +44,8 @@ class _Numeric(Learner):
             name, col = f"__lw_{self.uid}", cols[0]
             for _ in range(levels - 2):
                 col = F.flatten(col)
-            df = df.withColumn(name, F.explode(col))
+            if name not in df.columns:
+                df = df.withColumn(name, F.explode(col))
             return df, [F.get(F.col(name), F.lit(i)) for i in range(width)]
         return df, [F.get(cols[0], F.lit(i)) for i in range(width)]
 
@@ -57,7 +61,11 @@ class _Numeric(Learner):
 
 
 class StandardScaleEstimator(_Numeric):
-    """Mean and population deviation of each place, without maskValue."""
+    """Mean and population deviation of each place, without maskValue.
+
+    The mean doesn't depend on how the rows are dealt to tasks (beyond 2**37 rows, of which the parts
+    may not fit, it is Spark's); the deviation may, in its last digits.
+    """
 
     MODEL = scaling.StandardScaleTransformer
     PARAMS: ClassVar[dict] = {"maskValue": None}
@@ -65,7 +73,29 @@ class StandardScaleEstimator(_Numeric):
 
     def aggregates(self, df: DataFrame, width: int) -> tuple[DataFrame, dict[str, Column]]:
         df, places = self.elements(df, width)
-        return df, {f"{k}{i}": fn(self.unmasked(x)) for i, x in enumerate(places) for k, fn in (("m", F.avg), ("s", F.stddev_pop))}
+        values = {i: self.unmasked(x) for i, x in enumerate(places)}
+        out = {f"{k}{i}": fn(x) for i, x in values.items() for k, fn in (("m", F.avg), ("s", F.stddev_pop))}
+        out |= {f"most{i}": F.max(F.abs(x)) for i, x in values.items()}
+        for i, x in values.items() if width <= MOST_PLACES else ():
+            out |= {f"n{i}": F.count(x), **{f"part{k}_{i}": c for k, c in enumerate(sums_of_parts(x, USUAL))}}
+        return df, out
+
+    def refine(self, df: DataFrame, found: dict[str, Any]) -> dict[str, Any]:
+        """The means, made exact; places of unusually great or small numbers, and many places, are added up once more for that."""
+        found, width = dict(found), sum(k.startswith("most") for k in found)
+        grids = {i: exponent_of(v) for i in range(width) if (v := found[f"most{i}"]) is not None and math.isfinite(v)}
+        if again := [i for i, e in grids.items() if e != USUAL or f"n{i}" not in found]:
+            df, places = self.elements(df, width)
+            factors = F.array(*[F.lit(2.0 ** -grids[i]) for i in again])
+            df = df.select(F.posexplode(F.array(*[self.unmasked(places[i]) for i in again])).alias("place", "x"))
+            sums = sums_of_parts(F.col("x") * F.get(factors, F.col("place")), 0)
+            for r in df.groupBy("place").agg(F.count("x").alias("n"), *[c.alias(f"part{k}_") for k, c in enumerate(sums)]).collect():
+                found |= {f"{k}{again[r['place']]}": v for k, v in r.asDict().items() if k != "place"}
+        for i, e in grids.items():
+            sums = [found[f"part{k}_{i}"] for k in range(PARTS)]
+            if None not in sums:
+                found[f"m{i}"] = mean_of(sums, found[f"n{i}"], e)
+        return found
 
     def learn(self, found: dict[str, Any], width: int) -> Operator:
         return self.model(mean=[found[f"m{i}"] for i in range(width)], stddev=[found[f"s{i}"] for i in range(width)])
@@ -96,6 +126,9 @@ class SingleFeatureArrayStandardScaleEstimator(StandardScaleEstimator):
         n, mean = F.col(f"{name}.n"), F.col(f"{name}.mean")
         return df, {"n": F.sum(n), "sum": F.sum(mean * n), "within": F.sum(f"{name}.spread"), "square": F.sum(mean * mean * n)}
 
+    def refine(self, df: DataFrame, found: dict[str, Any]) -> dict[str, Any]:
+        return found
+
     def learn(self, found: dict[str, Any], width: int) -> Operator:
         if not found["n"]:
             raise ValueError("there are no elements to learn from")

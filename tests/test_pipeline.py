@@ -1,13 +1,16 @@
 """Estimators, pipelines, persistence, streams and sources."""
 
 import math
+from fractions import Fraction
 
 import pytest
 from pyspark.ml import Pipeline
+from pyspark.sql import functions as F
 
 import loomwright.operators as op
 from loomwright.plans.pipeline import FeaturePipeline, FeaturePipelineModel, Graph
 from loomwright.plans.tuning import choices, grid
+from loomwright.queries import QUERIES
 from loomwright.sources.tables import read_table, write_table
 from loomwright.streaming.transform import transform_stream, write_batches
 
@@ -186,3 +189,37 @@ def test_sources(spark, df, tmp_path):
     assert read_table(spark, f"file://{tmp_path}/csv", "csv", schema="col1 double, col4 string").count() == 3
     with pytest.raises(ValueError):
         read_table(spark, "x", "csv")
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e300, 5e-310])
+def test_means_do_not_depend_on_how_rows_are_dealt(spark, scale):
+    values = [scale * v for i in range(400) for v in (0.1 + i, -1e-7 * i, 1 / (3 + i), 0.9)]
+    exact = float(sum(map(Fraction, values)) / len(values))
+    rows = spark.createDataFrame([(v, [v] * 9, [[v, 1.0], [v, None]]) for v in values], "a double, b array<double>, c array<array<double>>")
+    for df in (rows.coalesce(1), rows.repartitionByRange(3, "a")):
+        stages = [op.StandardScaleEstimator(inputCol=n, outputCol=f"{n}x") for n in "abc"]
+        a, b, c = FeaturePipeline(stages).fit(df).stages
+        assert (a.getMean(), b.getMean(), c.getMean()) == ([exact], [exact] * 9, [exact, 1.0])
+
+
+def test_means_of_what_has_no_exact_sum(spark):
+    fit = lambda rows, kind="double", **more: op.StandardScaleEstimator(inputCol="a", outputCol="x", **more).fit(spark.createDataFrame([(r,) for r in rows], f"a {kind}"))
+    assert math.isnan(fit([1.0, float("nan")]).getMean()[0]) and fit([1.0, float("inf")]).getMean() == [math.inf]
+    assert fit([0.0, -0.0, None]).getMean() == [0.0] and fit([1.5, 2.5, -9.0], "float", maskValue=-9.0).getMean() == [2.0]
+    assert fit([[1.0, 5.0], [3.0, None], None], "array<double>").getMean() == [2.0, 5.0]
+    with pytest.raises(ValueError):
+        fit([None])
+
+
+@pytest.mark.parametrize("name", ["copied_pipeline"])
+def test_scalers_of_queries_do_not_depend_on_how_rows_are_dealt(spark, name):
+    query = QUERIES[name]
+    rows = [(i, 1, float(i % 50), 1000.37 + 7.13 * (i * i % 2999), 0.01 * (i % 11), 0.02, "ANR"[i % 3], "O") for i in range(3000)]
+    schema = "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    df = spark.createDataFrame(rows, schema).selectExpr(*query.given)
+    logs = [r[0] for r in df.select(F.log(F.col("l_extendedprice") + 1.0)).collect()]
+    for dealt in (df.coalesce(1), df.repartitionByRange(3, "l_extendedprice")):
+        pipeline = FeaturePipeline(query.stages())
+        model = (query.before(pipeline) if query.before else pipeline).fit(dealt)
+        model = query.after(model) if query.after else model
+        assert model.stages[2].getMean() == [float(sum(map(Fraction, logs)) / len(logs)), 24.5]
