@@ -211,7 +211,7 @@ def test_means_of_what_has_no_exact_sum(spark):
         fit([None])
 
 
-@pytest.mark.parametrize("name", ["copied_pipeline", "feature_pipeline"])
+@pytest.mark.parametrize("name", ["copied_pipeline", "feature_pipeline", "saved_pipeline"])
 def test_scalers_of_queries_do_not_depend_on_how_rows_are_dealt(spark, name):
     query = QUERIES[name]
     rows = [(i, 1, float(i % 50), 1000.37 + 7.13 * (i * i % 2999), 0.01 * (i % 11), 0.02, "ANR"[i % 3], "O") for i in range(3000)]
